@@ -44,9 +44,17 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of whole texts stay this small unless the session asks for other sizes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers' path."""
-    ship(df.sparkSession)
+    """``mapInArrow`` with this package on the workers' path and batches of a few MB."""
+    spark = df.sparkSession
+    ship(spark)
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     return df.mapInArrow(run, schema)
 
 
