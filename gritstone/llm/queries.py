@@ -13,12 +13,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
 
 
-QUERIES: dict[str, Query] = {"op3_simhash": op3_simhash}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_license": op2_license,
+    "op3_simhash": op3_simhash,
+    "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
+    "op10_pii": op10_pii,
+}
 
 ORACLE_SQL: dict[str, str] = {}
