@@ -43,6 +43,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op6_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann_tree import search
+
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import token_report
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_ann_tree": op6_ann_tree,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
