@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_or_null, mapped, written
-from .tokenise import Encoder, vocabulary
+from .tokenise import encoder, vocabulary
 
 CAPACITY = 1024
 #: Pieces of one length and bucket that are numbered in one task, and the most buckets.
@@ -164,11 +164,12 @@ def cut_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, cap
     source = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        tokenizer = encoder(path)
+        kind, end = f"<u{tokenizer.width}", end_id.to_bytes(tokenizer.width, "little")
         for batch in batches:
             rows, bodies = [], []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for key, raw in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1)), strict=True):
+                ids = np.frombuffer(raw + end, kind).astype("<u4").tobytes()
                 at = 0
                 for piece, n in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     body = ids[4 * at : 4 * (at + n)]

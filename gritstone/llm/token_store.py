@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import column_or_null, mapped, shuffle_width, written
 from .dac import Reader, encode
-from .tokenise import Encoder, vocabulary
+from .tokenise import encoder, vocabulary
 
 #: Ids after which a file is closed at the next document's end.
 FILE_IDS = 1 << 20
@@ -47,15 +47,14 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1) -> D
     cuts = np.array(_ranges(source), np.int64)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        tokenizer = encoder(path)
+        # Vocabularies below 65,536 travel in half the bytes.
+        kind, end = bytes([tokenizer.width]), end_id.to_bytes(tokenizer.width, "little")
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            # Vocabularies below 65,536 travel in half the bytes.
-            narrow = [np.frombuffer(x, "<u4") for x in ids]
-            narrow = [b"\x02" + x.astype("<u2").tobytes() if int(x.max()) < 1 << 16 else b"\x04" + x.tobytes() for x in narrow]
+            ids = [kind + x + end for x in tokenizer.encode(batch.column(1))]
             keys = batch.column(0).fill_null(_NULL)
             part = np.searchsorted(cuts, keys.to_numpy(), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), keys, pa.array(narrow, pa.binary())], names=["range", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), keys, pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, size = None, 0, 0
@@ -104,7 +103,8 @@ def read_tokens(store: DataFrame) -> DataFrame:
         for batch in batches:
             for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 reader = Reader(data.as_py())
-                crc = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(len(reader.keys))]
+                ids, at = memoryview(reader.tokens(0, len(reader)).astype("<u4")).cast("B"), (4 * reader.starts).tolist()
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
                 keys = pa.array(reader.keys, pa.int64(), mask=reader.keys == _NULL)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(reader.starts[:-1] + first), pa.array(reader.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
