@@ -13,18 +13,11 @@ import numpy as np
 
 
 def classify(text: np.ndarray) -> np.ndarray:
-    """True where a suffix is smaller than its successor. text: int16, closed by a unique smallest 0."""
-    n = len(text)
-    smaller = np.zeros(n, bool)
-    smaller[-1] = True
-    change = np.flatnonzero(text[:-1] != text[1:])
-    if len(change):
-        # Within a run of equal characters all suffixes are of the type of the run's last one.
-        at = np.searchsorted(change, np.arange(n - 1), "left")
-        inside = at < len(change)
-        last = change[np.minimum(at, len(change) - 1)]
-        smaller[:-1] = inside & (text[last] < text[last + 1])
-    return smaller
+    """True where a suffix is smaller than its successor. text is closed by a unique smallest 0."""
+    # All suffixes in a run of equal characters are of the type of the run's last one.
+    last = np.flatnonzero(np.r_[text[:-1] != text[1:], True])
+    of_run = np.r_[text[last[:-1]] < text[last[:-1] + 1], True]
+    return np.repeat(of_run, np.diff(np.r_[-1, last]))
 
 
 def _append(sa: np.ndarray, found: np.ndarray, chars: np.ndarray, edge: np.ndarray, down: bool) -> None:
@@ -121,12 +114,13 @@ def suffix_array(data: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int32)
-    text = np.zeros(n + 1, np.int16)
-    text[:n] = data
-    text[:n] += 1
+    # Characters become 1, 2, ... in order: a small alphabet has few buckets and sorts as single bytes.
+    used = np.bincount(data, minlength=256) > 0
+    code = np.cumsum(used).astype(np.uint8 if used.sum() < 256 else np.int16)
+    text = np.append(code[data], code.dtype.type(0))
     smaller = classify(text)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=257))]).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(text))]).astype(np.int64)
     order = leftmost
     if len(leftmost) > 1:
         by_char = leftmost[np.argsort(text[leftmost], kind="stable")]

@@ -34,8 +34,8 @@ from .suffix_array import common_prefixes, suffix_array
 
 SIZE = 200
 GRAM = 32
-#: Bytes of a shard, after which it is closed at the next anchor's end.
-SHARD = 4 << 20
+#: Bytes of a shard, after which it is closed at the next anchor's end: its arrays stay in a core's cache.
+SHARD = 1 << 19
 #: Bytes whose anchors are found at once; places in them must fit 24 bits.
 LOT = 8 << 20
 #: Different segments of an anchor from which on it is split by common bytes, and into how many ranges.
@@ -289,6 +289,39 @@ def repeats(groups: np.ndarray, lefts: np.ndarray, segments: list[bytes], size:
     return out
 
 
+def comparable(rows: list[tuple], size: int) -> list[tuple]:
+    """Rows (grp, anchor, segment, left, data) of whole groups, without what can match no other row of
+    its group. A string around the anchor either starts by half its room before it, and holds the
+    bytes from there to the gram's end, or starts later, and holds the bytes after the gram up to there;
+    a row goes where it shares neither with another, and loses the half it does not share."""
+    half = (size - GRAM) // 2
+    before: dict[tuple, int] = {}
+    after: dict[tuple, int] = {}
+    digest = xxhash.xxh3_64_intdigest
+    keys = []
+    for grp, _, _, left, data in rows:
+        a = (grp, digest(data[left - half : left + GRAM])) if left >= half else None
+        end = left + size - half
+        b = (grp, digest(data[left:end], 1)) if len(data) >= end else None
+        keys.append((a, b))
+        if a:
+            before[a] = before.get(a, 0) + 1
+        if b:
+            after[b] = after.get(b, 0) + 1
+    out = []
+    for row, (a, b) in zip(rows, keys, strict=True):
+        grp, anchor, segment, left, data = row
+        early, late = a is not None and before[a] > 1, b is not None and after[b] > 1
+        if early and late:
+            out.append(row)
+        elif early:
+            out.append((grp, anchor, segment, left, data[: left + size - half]))
+        elif late:
+            cut = max(0, left - half)
+            out.append((grp, anchor, segment, left - cut, data[cut:]))
+    return out
+
+
 def _sort_shards(size: int, shard: int = SHARD):
     """Segments sorted by grp, whole groups in a partition: (anchor, segment, start, end) of each
     repeated interval, relative to the anchor."""
@@ -298,8 +331,9 @@ def _sort_shards(size: int, shard: int = SHARD):
         total, now = 0, None
 
         def close():
-            found = repeats(np.array([r[0] for r in held], np.int64), np.array([r[3] for r in held], np.int64), [r[4] for r in held], size)
-            rows = [(r[1], r[2], a - r[3], b - r[3]) for r, (s, e) in zip(held, found, strict=True) for a, b in zip(s, e, strict=True)]
+            rows = comparable(held, size)
+            found = repeats(np.array([r[0] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), [r[4] for r in rows], size) if rows else []
+            rows = [(r[1], r[2], a - r[3], b - r[3]) for r, (s, e) in zip(rows, found, strict=True) for a, b in zip(s, e, strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["anchor", "segment", "a", "b"])
