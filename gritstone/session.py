@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -39,3 +40,17 @@ def ship(spark: SparkSession) -> None:
             z.write(path, Path(PACKAGE.name) / path.relative_to(PACKAGE))
     sc.addPyFile(archive)
     sc._gritstone_shipped = True
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut a lineage: write to the cluster's checkpoint folder, which all executors share, and read back.
+    Where the session names none (as in tests) a folder of our own is used."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(durable, "own", None)
+    if not base:
+        base = durable.own = "file://" + tempfile.mkdtemp(prefix="gritstone-")
+    path = f"{base.rstrip('/')}/gritstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
