@@ -55,13 +55,13 @@ def parse_filename_lenient(df: DataFrame, col: str = "filename") -> DataFrame:
 
 def explode_lines(df: DataFrame, col: str = "content") -> DataFrame:
     """One row for each line: pos (from 0) and line; all newline conventions count."""
-    text = F.regexp_replace(F.coalesce(F.col(col), F.lit("")), "^﻿", "")
+    text = F.regexp_replace(F.coalesce(F.col(col), F.lit("")), "^\uFEFF", "")
     return df.select(*[c for c in df.columns if c != col], F.posexplode(F.split(text, "\r\n|\n|\r")).alias("pos", "line"))
 
 
 def clean_line(c: Column) -> Column:
     """Without zero-width characters; tabs and runs of white space become one space; stripped."""
-    c = F.translate(F.regexp_replace(c, "[​-‍﻿]", ""), "\t", " ")
+    c = F.translate(F.regexp_replace(c, "[\u200B-\u200D\uFEFF]", ""), "\t", " ")
     return strip(F.regexp_replace(c, r"(?U)\s{2,}", " "))
 
 

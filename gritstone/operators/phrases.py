@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import durable
 
-#: Accepted pairs go into the merging expression up to this number; more are joined.
-INLINE_PAIRS = 20_000
-
 
 def safe_threshold(value: float, scoring: str = "npmi", fallback: float = 0.3) -> float:
     """An npmi threshold lies in [-1, 1]: below it is -1, above it the fallback."""
@@ -61,32 +59,28 @@ def merge_expression(tokens: Column, accepted: Column) -> Column:
     return F.aggregate(tokens, state, step, lambda acc: acc["out"])
 
 
-def merge_phrases(docs: DataFrame, pairs: DataFrame, tokens: str = "tokens", out: str = "tokens_bi", keys: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the accepted pairs merged. The phrase model is a table; up to INLINE_PAIRS entries travel as
-    one map with the plan, more meet only the documents whose own pairs they are."""
+def merge_phrases(docs: DataFrame, pairs: DataFrame, tokens: str = "tokens", out: str = "tokens_bi", keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
+    """docs with the accepted pairs merged. The phrase model is a table of any size: each document's own
+    pairs meet it in an equi-join and come back as that document's short list. ``id_col`` names a unique
+    column; without one the documents are numbered and kept in the shared folder."""
     keys = tuple(keys)
     accepted = pairs.select(*keys, F.concat_ws(" ", "a", "b").alias("p"))
-    few = accepted.limit(INLINE_PAIRS + 1).count() <= INLINE_PAIRS
-    if few:
-        model = accepted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("p", F.lit(True)))).alias("_m"))
-        # Without keys the model is one row, on a constant key.
-        found = docs.join(F.broadcast(model), list(keys), "left") if keys else docs.withColumn("_k", F.lit(0)).join(F.broadcast(model.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
-    else:
-        t = F.col(tokens)
-        own = F.array_distinct(F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>")))
-        marked = durable(docs.withColumn("_id", F.monotonically_increasing_id()))
-        hits = marked.select("_id", *keys, F.explode(own).alias("p")).join(accepted, [*keys, "p"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("p", F.lit(True)))).alias("_m"))
-        found = marked.join(hits, "_id", "left").drop("_id")
+    t = F.col(tokens)
+    own = F.array_distinct(F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))))
+    marked = docs if id_col else durable(docs.withColumn("_id", F.monotonically_increasing_id()))
+    key = id_col or "_id"
+    hits = marked.select(key, *[k for k in keys if k != key], F.explode(own).alias("p")).join(accepted, [*keys, "p"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("p", F.lit(True)))).alias("_m"))
     empty = F.create_map().cast("map<string,boolean>")
-    return found.withColumn(out, merge_expression(F.col(tokens), F.coalesce("_m", empty))).drop("_m")
+    merged = marked.join(hits, key, "left").withColumn(out, let(F.coalesce("_m", empty), lambda m: merge_expression(F.col(tokens), m)))
+    return merged.select(*[c for c in docs.columns if c != out], out)
 
 
-def mine_phrases(docs: DataFrame, tokens: str = "tokens", bigram: tuple[int, float] = (10, 0.3), trigram: tuple[int, float] = (5, 0.2), scoring: str = "npmi", keys: tuple[str, ...] = ()) -> DataFrame:
+def mine_phrases(docs: DataFrame, tokens: str = "tokens", bigram: tuple[int, float] = (10, 0.3), trigram: tuple[int, float] = (5, 0.2), scoring: str = "npmi", keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
     """Two passes: tokens_bi, then tokens_tri on the merged documents."""
     bi = scored_pairs(docs, tokens, bigram[0], safe_threshold(bigram[1], scoring), scoring, keys)
-    once = merge_phrases(docs, bi, tokens, "tokens_bi", keys)
+    once = merge_phrases(docs, bi, tokens, "tokens_bi", keys, id_col)
     tri = scored_pairs(once, "tokens_bi", trigram[0], safe_threshold(trigram[1], scoring, 0.2), scoring, keys)
-    return merge_phrases(once, tri, "tokens_bi", "tokens_tri", keys)
+    return merge_phrases(once, tri, "tokens_bi", "tokens_tri", keys, id_col)
 
 
 def phrase_frequencies(docs: DataFrame, tokens: str = "tokens", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import rstrip, strip
+from ..functions.text import let, rstrip, strip
 
 TOKEN = r"[A-Za-z]+(?:'[A-Za-z]+)?|[\$€£]?\d+(?:[\.,]\d+)*%?"
 
@@ -58,12 +58,10 @@ def split_long(
     lossless = forward_merge == "lossless"
     text = F.coalesce(F.col(text_col), F.lit(""))
     piece = "struct<txt:string,s:int,e:int>"
-    parts = segments(text, sep)
-    n = F.size(parts)
     few = lambda t: F.size(simple_tokens(t)) < min_tokens_piece
     start = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.lit(None).cast(piece).alias("held"), F.lit(0).alias("i"), F.lit(False).alias("skip"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column, n: Column) -> Column:
         out, held, i = acc["out"], acc["held"], acc["i"]
         last = F.get(out, F.size(out) - 1)
         merged = F.struct(strip(F.concat_ws(" ", last["txt"], x["txt"])).alias("txt"), last["s"].alias("s"), x["e"].alias("e"))
@@ -86,7 +84,8 @@ def split_long(
             skip = wait
         return F.struct(new_out.alias("out"), new_held.alias("held"), (i + 1).alias("i"), skip.alias("skip"))
 
-    folded = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    # The parts are bound once: inside a lambda they would be worked out anew for each step.
+    folded = let(segments(text, sep), lambda parts: F.aggregate(parts, start, lambda acc, x: step(acc, x, F.size(parts)), lambda acc: acc["out"]))
     tokens, chars = F.size(simple_tokens(text)), F.length(text)
     whole = F.array(F.struct(text.alias("txt"), F.lit(0).alias("s"), chars.alias("e")))
     pieces = F.when((tokens < trigger_tokens) & (chars < trigger_chars), whole).otherwise(folded)

@@ -75,7 +75,7 @@ def _splitter(mode: str) -> str:
         out = f"CASE WHEN {wait} THEN r.out WHEN {first} THEN [{now}] WHEN {short} THEN {merged} ELSE list_append(r.out, {item}) END"
         held, skip = f"CASE WHEN {wait} THEN {now} END", "false"
     kind = "STRUCT(txt VARCHAR, s BIGINT, e BIGINT)"
-    return f"""WITH RECURSIVE g AS ({SEGS}), t AS (SELECT *, len({TOKENS.format(c='sentence_raw')}) AS toks, length(sentence_raw) AS chars FROM ({HTML_TEXTS})),
+    return f"""WITH RECURSIVE g AS MATERIALIZED ({SEGS}), t AS MATERIALIZED (SELECT *, len({TOKENS.format(c='sentence_raw')}) AS toks, length(sentence_raw) AS chars FROM ({HTML_TEXTS})),
 r AS (SELECT sent_id, 0 AS i, CAST([] AS {kind}[]) AS out, CAST(NULL AS {kind}) AS held, false AS skip FROM t
 UNION ALL SELECT r.sent_id, r.i + 1, {out}, {held}, {skip} FROM r JOIN g ON g.sent_id = r.sent_id AND g.i = r.i + 1),
 f AS (SELECT sent_id, arg_max(out, i) AS out FROM r GROUP BY sent_id),
@@ -256,16 +256,17 @@ def default_score_phrases(spark, sf_dir):
     return P.scored_pairs(docs(spark, sf_dir), min_count=10, threshold=1.0, scoring="default").select("a", "b", "n", *r6("score"))
 
 
-MERGED = f"""WITH RECURSIVE ok AS MATERIALIZED (SELECT list(a || ' ' || b) AS ok FROM ({SCORED}) WHERE npmi > {LOW}), d AS MATERIALIZED ({DOCS}),
-m AS (SELECT row_id, tokens, 1 AS i, CAST([] AS VARCHAR[]) AS out, CAST(NULL AS VARCHAR) AS last FROM d
-UNION ALL SELECT row_id, tokens, i + 1, CASE WHEN last IS NOT NULL AND list_contains(ok, last || ' ' || tokens[i]) THEN list_append(out[1:len(out) - 1], last || '_' || tokens[i]) ELSE list_append(out, tokens[i]) END,
-CASE WHEN last IS NOT NULL AND list_contains(ok, last || ' ' || tokens[i]) THEN NULL ELSE tokens[i] END FROM m, ok WHERE i <= len(tokens))
+MERGED = f"""WITH RECURSIVE ok AS MATERIALIZED (SELECT a, b FROM ({SCORED}) WHERE npmi > {LOW}), d AS MATERIALIZED ({DOCS}),
+p AS (SELECT row_id, i, ok.a IS NOT NULL AS hit FROM (SELECT row_id, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS a, unnest(list_append(tokens[2:], NULL)) AS b FROM d) q LEFT JOIN ok ON ok.a = q.a AND ok.b = q.b),
+h AS MATERIALIZED (SELECT row_id, list(hit ORDER BY i) AS hits FROM p GROUP BY 1),
+m AS (SELECT d.row_id, tokens, hits, 1 AS i, CAST([] AS VARCHAR[]) AS out, false AS open FROM d LEFT JOIN h ON h.row_id = d.row_id
+UNION ALL SELECT row_id, tokens, hits, i + 1, CASE WHEN open AND hits[i - 1] THEN list_append(out[1:len(out) - 1], tokens[i - 1] || '_' || tokens[i]) ELSE list_append(out, tokens[i]) END, NOT (open AND hits[i - 1]) FROM m WHERE i <= len(tokens))
 SELECT row_id, out AS tokens_bi FROM m WHERE i = len(tokens) + 1"""
 
 
 def _merged(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return P.merge_phrases(d, P.scored_pairs(d, min_count=10, threshold=LOW))
+    return P.merge_phrases(d, P.scored_pairs(d, min_count=10, threshold=LOW), id_col="row_id")
 
 
 @query(f"SELECT row_id, array_to_string(tokens_bi, ' ') AS tokens_bi FROM ({MERGED})")
@@ -280,7 +281,7 @@ def phrase_freq(spark, sf_dir):
 
 @query()
 def phrase_mining_trigrams(spark, sf_dir):
-    return P.phrase_frequencies(P.mine_phrases(docs(spark, sf_dir), bigram=(10, LOW), trigram=(5, LOW)), "tokens_tri")
+    return P.phrase_frequencies(P.mine_phrases(docs(spark, sf_dir), bigram=(10, LOW), trigram=(5, LOW), id_col="row_id"), "tokens_tri")
 
 
 #: Phrases for the list operators: pairs of frequent syllables as the invented prose has them.
