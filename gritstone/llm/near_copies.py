@@ -3,7 +3,7 @@
 Used where near duplicates are asked for by similarity (five words, 0.8 or more) and not by a
 Hamming radius. Texts with the same shingle set are one class. Classes meet in blocks: each takes
 ``BLOCKS`` block keys, the smallest of its shingles under as many permutations, so two classes of
-similarity s miss each other with probability (1 - s) ** BLOCKS: 6.4e-5 at 0.8. In a block,
+similarity s miss each other with probability (1 - s) ** BLOCKS: 3.2e-4 at 0.8. In a block,
 tiles of fingerprints are compared by XOR and bit counts within ``RADIUS`` (at 0.8 similarity about
 10 of 64 bits differ, three standard deviations below it), and every pair left is confirmed on the
 whole shingle sets.
@@ -23,7 +23,7 @@ from .common import column_or_null, mapped, written
 from .components import connected_components
 from .simhash import _Forest, fingerprint, near_pairs, shingle_hashes, tile_units
 
-BLOCKS = 6
+BLOCKS = 5
 RADIUS = 20
 #: Shingle sets are wide, so tiles hold fewer rows than those of bare fingerprints.
 TILE = 1024
@@ -32,29 +32,49 @@ _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in r
 
 
 def _profile(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """Per row: doc_id, body (hash of the text), node (hash of its shingle set), fp, size, blocks."""
     source = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, body, prints, blocks, sets, size = [], [], [], [], [], []
+            node, body, prints, blocks, size = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py()
                 hashes = shingle_hashes(text, shingle_words)
                 distinct = np.unique(hashes)
-                raw = distinct.astype("<u8").tobytes()
-                node.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                node.append(_node(distinct))
                 body.append(None if text is None else xxhash.xxh3_64_intdigest(text) - (1 << 63))
                 prints.append(np.uint64(fingerprint(hashes)).astype(np.int64))
                 mixed = distinct ^ (distinct >> np.uint64(29))
                 blocks.append([int((mixed * m).min().astype(np.int64)) for m in _ODD] if len(distinct) else None)
-                sets.append(raw)
                 size.append(len(distinct))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(body, pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["doc_id", "body", "node", "fp", "size", "blocks", "shingles"],
+                [batch.column(0), pa.array(body, pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(blocks, pa.list_(pa.int64()))],
+                names=["doc_id", "body", "node", "fp", "size", "blocks"],
             )
 
-    return mapped(source, run, "doc_id bigint, body bigint, node bigint, fp bigint, size int, blocks array<bigint>, shingles binary")
+    return mapped(source, run, "doc_id bigint, body bigint, node bigint, fp bigint, size int, blocks array<bigint>")
+
+
+def _node(distinct: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(distinct.astype("<u8").tobytes()) - (1 << 63)
+
+
+def _shingle_sets(shingle_words: int):
+    """(text, node, fp) to (node, fp, shingles): the set as sorted 32-bit hashes. A text that is not
+    the node's, as another row of its id may be, is passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, keep = [], []
+            for value, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                distinct = np.unique(shingle_hashes(value.as_py(), shingle_words))
+                keep.append(_node(distinct) == node)
+                sets.append(np.unique(distinct.astype(np.uint32)).astype("<u4").tobytes() if keep[-1] else None)
+            rows = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -76,7 +96,7 @@ def _similar(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: float)
 def _confirmed(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray, raw: list[bytes], least: float) -> list[tuple[int, int]]:
     order = np.lexsort((nodes, np.bitwise_count(fps)))
     fps, nodes, side, raw = fps[order], nodes[order], side[order], [raw[k] for k in order]
-    sets = [np.frombuffer(x, "<u8") for x in raw]
+    sets = [np.frombuffer(x, "<u4") for x in raw]
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
     forest, links = _Forest(len(fps)), []
@@ -135,15 +155,19 @@ def near_copy_classes(docs: DataFrame, shingle_words: int = 5, least: float = 0.
     blank texts have no shingles and form one component.
     """
     rows = written(_profile(docs, shingle_words))
-    classes = rows.where("blocks is not null").dropDuplicates(["node"])
-    keyed = classes.select(F.posexplode("blocks").alias("k", "value"), "node")
-    keyed = keyed.select(F.xxhash64("k", "value").alias("block"), "node")
+    classes = rows.where("blocks is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("blocks").alias("blocks"))
+    classes = written(classes)
+    band = F.floor(F.log("size") / F.log(F.lit(1 / least))).cast("int").alias("pop")
+    keyed = classes.select(F.posexplode("blocks").alias("k", "value"), "node", band)
+    keyed = keyed.select(F.xxhash64("k", "value").alias("block"), "node", "pop")
     shared = keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
     met = written(keyed.join(shared, "block"))
-    # Only classes that meet another carry their shingle sets into the units.
-    band = F.floor(F.log("size") / F.log(F.lit(1 / least))).cast("int").alias("pop")
-    wide = classes.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", band, "shingles")
-    units = tile_units(met.join(wide, "node"), ["fp", "node", "shingles"], 1, tile)
+    # Only classes that meet another are read again, one text of each, for their shingle sets.
+    needed = classes.join(met.select("node").distinct(), "node", "left_semi").select("first", "node", "fp")
+    source = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "binary").alias("text"))
+    again = source.join(needed, source["doc_id"].eqNullSafe(needed["first"])).select("text", "node", "fp")
+    wide = mapped(again, _shingle_sets(shingle_words), "node bigint, fp bigint, shingles binary")
+    units = tile_units(met.join(wide, "node"), ["fp", "node", "shingles"], 1, tile, counted=met)
     linked = connected_components(mapped(units, _confirm_units(least), "a bigint, b bigint"))
     return rows.join(linked, "node", "left").select("doc_id", "body", F.coalesce("component", "node").alias("component"))
 

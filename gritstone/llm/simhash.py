@@ -178,16 +178,17 @@ def _units(radius: int):
     return run
 
 
-def tile_units(keyed: DataFrame, carried: list[str], reach: int, tile: int = TILE) -> DataFrame:
+def tile_units(keyed: DataFrame, carried: list[str], reach: int, tile: int = TILE, counted: DataFrame | None = None) -> DataFrame:
     """Deal rows (block, pop, node, carried...) to work units of at most two tiles.
 
     A block of up to ``tile`` rows is one unit. A larger one is cut into tiles by ``pop`` and a
     salt; each pair of tiles whose ``pop`` differ by at most ``reach`` is a unit, with the rows of
     one tile on side 0 and of the other on side 1. Returns (unit, carried..., side), units whole
-    within a partition and sorted.
+    within a partition and sorted. ``counted`` may give the same (block, pop) rows without what is
+    carried, to be counted in its place.
     """
     width = shuffle_width(keyed.sparkSession)
-    sizes = keyed.groupBy("block", "pop").agg(F.count("*").alias("n")).groupBy("block").agg(
+    sizes = (keyed if counted is None else counted).groupBy("block", "pop").agg(F.count("*").alias("n")).groupBy("block").agg(
         F.sum("n").alias("size"), F.map_from_arrays(F.collect_list("pop"), F.collect_list(F.ceil(F.col("n") / tile).cast("int"))).alias("salts")
     ).where("size > 1")
     sizes = sizes.select("block", "size", F.when(F.col("size") > tile, F.col("salts")).alias("salts"))
