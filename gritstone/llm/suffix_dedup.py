@@ -401,7 +401,9 @@ def repeated_strings(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
 
     places = written(mapped(texts.select("key", "text"), _find_anchors(size), "anchor bigint, segment bigint, key bigint, pos int"))
     counts = places.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("low"), F.max("segment").alias("high")).where("n > 1")
-    shared = written(places.join(counts.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"))
+    # Written, so that both sides of the join are plain exchanges and AQE may split a hot anchor's partition.
+    counts = written(counts.select("anchor", (F.col("low") == F.col("high")).alias("alike")))
+    shared = written(places.join(counts, "anchor"))
 
     # One occurrence stands for all that have the same segment.
     kinds = written(shared.where("not alike").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at")))
