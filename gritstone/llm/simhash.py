@@ -191,7 +191,8 @@ def tile_units(keyed: DataFrame, carried: list[str], reach: int, tile: int = TIL
     sizes = (keyed if counted is None else counted).groupBy("block", "pop").agg(F.count("*").alias("n")).groupBy("block").agg(
         F.sum("n").alias("size"), F.map_from_arrays(F.collect_list("pop"), F.collect_list(F.ceil(F.col("n") / tile).cast("int"))).alias("salts")
     ).where("size > 1")
-    sizes = sizes.select("block", "size", F.when(F.col("size") > tile, F.col("salts")).alias("salts"))
+    # Written, so that both sides of the join are plain exchanges and AQE may split a hot block's partition.
+    sizes = written(sizes.select("block", "size", F.when(F.col("size") > tile, F.col("salts")).alias("salts")))
     rows = keyed.join(sizes, "block")
     small = rows.where("salts is null").select(F.xxhash64("block", F.lit(0)).alias("unit"), *carried, F.lit(0).cast("byte").alias("side"))
     # A row of a large block goes to each tile pair that its own tile belongs to.
@@ -233,7 +234,8 @@ def hamming_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     linked = connected_components(links_in_blocks(keyed, radius))
     grouped = nodes.join(linked, "node")
     named = grouped.join(grouped.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("fp", "component_id")
-    full = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # Written for the same reason: one fingerprint may be that of a third of all rows.
+    full = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return prints.join(full, "fp", "left")
 
 
