@@ -27,8 +27,8 @@ from .common import column_or_null, mapped, written
 from .tokenise import encoder, vocabulary
 
 CAPACITY = 1024
-#: Pieces of one length and bucket that are numbered in one task, and the most buckets.
-BUCKET_ROWS, BUCKETS = 20_000, 4096
+#: Pieces of one length that are numbered together: a length with more has several buckets, up to so many.
+BUCKET_ROWS, BUCKETS = 1000, 65_536
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -200,9 +200,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, ca
     for row in counted:
         histogram[row["length"]] = row["n"]
     table = intervals(plan(histogram, capacity))
-    buckets = int(max(1, min(BUCKETS, -(-histogram.max() // BUCKET_ROWS))))
-
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # A number of buckets for each length, by its count.
+    buckets = F.array(*[F.lit(int(max(1, min(BUCKETS, -(-n // BUCKET_ROWS))))) for n in histogram.tolist()])
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))).cast("int"))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
