@@ -107,8 +107,9 @@ class LabelModel:
             share = np.clip((post.sum() + 1) / (n + 2), 1e-4, 1 - 1e-4)
             on = (post @ v + 0.5) / (post.sum() + 1)
             off = ((1 - post) @ v + 0.5) / ((1 - post).sum() + 1)
-            mark_on = (post @ marks + 1) / (post.sum() + 2)
-            mark_off = ((1 - post) @ marks + 0.1) / ((1 - post).sum() + 1)
+            # Marks are held for good ones unless the votes say otherwise on many rows.
+            mark_on = (post @ marks + 0.98 * n) / (post.sum() + n)
+            mark_off = ((1 - post) @ marks + 0.002 * n) / ((1 - post).sum() + n)
             if step == 2:
                 self._correlate(v, post, on, off)
             log_on = np.log(on / off) * self.weight
@@ -258,8 +259,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voter
     best = counted.where(F.col("pos") >= least).orderBy(_worth(n_pos, n_neg).desc(), "bucket").limit(voters * 16)
     buckets = frozenset(r["bucket"] for r in best.select("bucket").collect())
     exact = mapped(texts, _count_grams(buckets), "gram string, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # A voter must be right more often than not: precision of a half against a tenth or so by chance.
-    exact = exact.where((F.col("pos") >= least) & (F.col("pos") > F.col("neg")))
+    # A voter must be right three times in four where it fires; by chance it would be in a tenth or so.
+    exact = exact.where((F.col("pos") >= least) & (F.col("pos") >= 3 * F.col("neg")))
     ranked = exact.orderBy(_worth(n_pos, n_neg).desc(), F.length("gram").desc(), "gram").limit(voters * 32)
     induced = _distinct_voters([(r["gram"], r["pos"]) for r in ranked.collect()], voters)
     names = list(dict.fromkeys(induced + fixed))
