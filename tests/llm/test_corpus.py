@@ -542,6 +542,15 @@ def test_runs_without_ends_take_linear_time():
         pii.detect(t)
 
 
+@pytest.mark.parametrize("name", ["op4_url_filter", "op5_decontaminate"])
+def test_same_rows_as_sql(spark, name):
+    from oracle import compare, database
+
+    from gritstone.llm.queries import ORACLE_SQL, QUERIES
+
+    assert compare(QUERIES[name](spark, SF), ORACLE_SQL[name], database(SF)) == ""
+
+
 # ---------------------------------------------------------------- pipeline
 
 
