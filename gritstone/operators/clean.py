@@ -134,26 +134,29 @@ def embedded_heading(c: Column, noun: Predicate = noun_first) -> Column:
     what does not depend on the window is worked out once for each word."""
 
     def scan(row: Column) -> Column:
-        ws, n, caps = row["ws"], F.size(row["ws"]), row["caps"]
+        ws, n = row["ws"], F.size(row["ws"])
         span = lambda s: F.when(F.least(s + 15, n) > s + 3, F.transform(F.sequence(s + 3, F.least(s + 15, n) - 1), lambda e: F.struct(s.alias("s"), e.alias("e"))))
         spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.lit(5)), span), lambda x: x.isNotNull()))
+        known = "|".join(f"(?:{pattern})" for pattern in HEADINGS)
 
         def good(x: Column) -> Column:
             width = x["e"] - x["s"]
+            within = lambda c: F.slice(row[c], x["s"] + 1, width)
             text = F.array_join(F.slice(ws, x["s"] + 1, width), " ")
-            capitals = F.aggregate(F.slice(caps, x["s"] + 1, width), F.lit(0), lambda a, y: a + y)
-            known = F.lit(False)
-            for pattern in HEADINGS:
-                known = known | text.rlike(pattern)
-            looks = (width <= 8) & is_title(text)
-            return (n - x["e"] >= 5) & ((capitals >= 3) | known | looks) & noun(text) & ~has_date_or_number(text)
+            capitals = F.aggregate(within("caps"), F.lit(0), lambda a, y: a + y)
+            fits = (n - x["e"] >= 5) & F.get(row["nouns"], x["s"]) & ~F.array_contains(within("dated"), True)
+            return fits & ((capitals >= 3) | text.rlike(known) | ((width <= 8) & is_title(text)))
 
         return F.get(F.filter(spans, good), 0)
 
     # A window ends at word 20 at the latest, and needs only to know whether five more follow.
     first = lambda ws: F.slice(ws, 1, 26)
     capital = lambda w: (starts_upper(w) & ~in_list(F.lower(w), LOWER_OK)).cast("int")
-    return let(words(c), lambda ws: let(F.struct(first(ws).alias("ws"), F.transform(first(ws), capital).alias("caps")), scan))
+
+    def facts(ws: Column) -> Column:
+        return F.struct(ws.alias("ws"), F.transform(ws, capital).alias("caps"), F.transform(ws, noun).alias("nouns"), F.transform(ws, has_date_or_number).alias("dated"))
+
+    return let(first(words(c)), lambda ws: let(facts(ws), scan))
 
 
 def without_span(c: Column, span: Column) -> Column:
