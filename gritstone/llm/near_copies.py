@@ -2,7 +2,7 @@
 
 Used where near duplicates are asked for by similarity (five words, 0.8 or more) and not by a
 Hamming radius. Texts with the same shingle set are one class. Classes meet in blocks: each takes
-``BLOCKS`` block keys, the smallest of its shingles under as many permutations, so two classes of
+``BLOCKS`` block keys, the smallest of its shingles under as many mixed hashes, so two classes of
 similarity s miss each other with probability (1 - s) ** BLOCKS: 3.2e-4 at 0.8. In a block,
 tiles of fingerprints are compared by XOR and bit counts within ``RADIUS`` (at 0.8 similarity about
 10 of 64 bits differ, three standard deviations below it), and every pair left is confirmed on the
@@ -28,7 +28,16 @@ RADIUS = 20
 #: Shingle sets are wide, so tiles hold fewer rows than those of bare fingerprints.
 TILE = 1024
 #: Length bands: sets whose sizes differ by more than 1 / 0.8 lie at least a band apart.
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(BLOCKS)], np.uint64)
+_SEEDS = np.array([(0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1) for k in range(BLOCKS)], np.uint64)
+
+
+def _mixed(hashes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A permutation of 64-bit values (SplitMix64's finaliser), another for each seed. A product with
+    an odd number alone is not enough: the smallest of g * h is often that of 3g * h, 5g * h too."""
+    x = hashes ^ seed
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _profile(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -45,8 +54,7 @@ def _profile(docs: DataFrame, shingle_words: int) -> DataFrame:
                 node.append(_node(distinct))
                 body.append(None if text is None else xxhash.xxh3_64_intdigest(text) - (1 << 63))
                 prints.append(np.uint64(fingerprint(hashes)).astype(np.int64))
-                mixed = distinct ^ (distinct >> np.uint64(29))
-                blocks.append([int((mixed * m).min().astype(np.int64)) for m in _ODD] if len(distinct) else None)
+                blocks.append([int(_mixed(distinct, seed).min().astype(np.int64)) for seed in _SEEDS] if len(distinct) else None)
                 size.append(len(distinct))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(body, pa.int64()), pa.array(node, pa.int64()), pa.array(prints, pa.int64()), pa.array(size, pa.int32()), pa.array(blocks, pa.list_(pa.int64()))],

@@ -206,6 +206,22 @@ def test_near_copies(spark, docs, rows, tile):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def linked_pairs(spark, pairs):
+    """How many pairs of texts come out as one component each."""
+    texts = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    got = {r["doc_id"]: r["component"] for r in near_copies.near_copy_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    return sum(got[2 * k] == got[2 * k + 1] for k in range(len(pairs)))
+
+
+def test_near_copies_at_the_threshold_meet(spark):
+    """80 shingles shared, 10 of each side's own: a similarity of 0.8, where all blocks miss 3.2e-4 of the pairs."""
+    pairs = []
+    for k in range(2000):
+        words = [f"w{k}x{j}" for j in range(104)]
+        pairs.append((" ".join(words[:94]), " ".join(words[:84] + words[94:])))
+    assert linked_pairs(spark, pairs) >= 1995
+
+
 def test_keep_one(odd, empty):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
