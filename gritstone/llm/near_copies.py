@@ -4,7 +4,7 @@ Used where near duplicates are asked for by similarity (five words, 0.8 or more)
 Hamming radius. Texts with the same shingle set are one class. Classes meet in blocks: each takes
 ``BLOCKS`` block keys, the smallest of its shingles under as many mixed hashes, so two classes of
 similarity s miss each other with probability (1 - s) ** BLOCKS: 3.2e-4 at 0.8. In a block,
-tiles of fingerprints are compared by XOR and bit counts within ``RADIUS`` (at 0.8 similarity about
+tiles of fingerprints of the sets are compared by XOR and bit counts within ``RADIUS`` (at 0.8 similarity about
 10 of 64 bits differ, three standard deviations below it), and every pair left is confirmed on the
 whole shingle sets.
 """
@@ -49,11 +49,11 @@ def _profile(docs: DataFrame, shingle_words: int) -> DataFrame:
             node, body, prints, blocks, size = [], [], [], [], []
             for value in batch.column(1):
                 text = value.as_py()
-                hashes = shingle_hashes(text, shingle_words)
-                distinct = np.unique(hashes)
+                # The fingerprint is of the set too: with repeats it would say nothing about the sets' similarity.
+                distinct = np.unique(shingle_hashes(text, shingle_words))
                 node.append(_node(distinct))
                 body.append(None if text is None else xxhash.xxh3_64_intdigest(text) - (1 << 63))
-                prints.append(np.uint64(fingerprint(hashes)).astype(np.int64))
+                prints.append(np.uint64(fingerprint(distinct)).astype(np.int64))
                 blocks.append([int(_mixed(distinct, seed).min().astype(np.int64)) for seed in _SEEDS] if len(distinct) else None)
                 size.append(len(distinct))
             yield pa.RecordBatch.from_arrays(

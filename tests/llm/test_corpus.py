@@ -222,6 +222,15 @@ def test_near_copies_at_the_threshold_meet(spark):
     assert linked_pairs(spark, pairs) >= 1995
 
 
+def test_near_copies_may_repeat_a_section(spark):
+    """Nearly equal shingle sets, with one section 40 times in one text and once in the other."""
+    pairs = []
+    for k in range(50):
+        section, rest = [f"s{k}x{j}" for j in range(50)], [f"w{k}x{j}" for j in range(1000)]
+        pairs.append((" ".join(rest + section * 40), " ".join(rest + section)))
+    assert linked_pairs(spark, pairs) == 50
+
+
 def test_keep_one(odd, empty):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
