@@ -34,13 +34,13 @@ DICT = f"SELECT token, df FROM ({DF}) WHERE df >= 20 AND df <= 0.4 * (SELECT cou
 
 @query(DICT)
 def dictionary_filter(spark, sf_dir):
-    return O.dictionary(docs(spark, sf_dir), keep=2000)
+    return O.dictionary(docs(spark, sf_dir))
 
 
 @query(f"SELECT row_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM (SELECT row_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM ({DOCS})) WHERE token IN (SELECT token FROM ({DICT})) GROUP BY 1")
 def dictionary_docs(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return O.in_dictionary(d, O.dictionary(d, keep=2000), "row_id").select("row_id", F.array_join("tokens", " ").alias("tokens"))
+    return O.in_dictionary(d, O.dictionary(d), "row_id").select("row_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 #: Topics made of the most frequent tokens, so that coherence has an exact answer.
@@ -162,11 +162,11 @@ def topic_phrases(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
-    model, vocab, _ = O.fit_lda(docs(spark, sf_dir), 5, iterations=10, vocab_size=2000)
+    model, vocab, _ = O.fit_lda(docs(spark, sf_dir), 5, iterations=10)
     return O.top_words(model, vocab, 15)
 
 
 @query()
 def lda_doc_topics(spark, sf_dir):
-    model, _, weighted = O.fit_lda(docs(spark, sf_dir), 5, iterations=10, vocab_size=2000)
+    model, _, weighted = O.fit_lda(docs(spark, sf_dir), 5, iterations=10)
     return O.document_topics(model, weighted, "row_id")

@@ -236,6 +236,26 @@ def test_lda_shares_sum_to_one(spark):
     assert topics.top_words(model, vocab, 2).count() == 4 and topics.perplexity(model, weighted) > 0
 
 
+def test_dictionary_queries_keep_more_than_2000_tokens(spark, monkeypatch):
+    from gritstone.plans import topics as plans
+
+    rows = [(k, [f"t{j}" for j in range(2100) if (k - j) % 100 < 20]) for k in range(100)]
+    docs = spark.createDataFrame(rows, "row_id long, tokens array<string>")
+    sizes, fit = [], topics.fit_lda
+
+    def fitted(*args, **options):
+        out = fit(*args, **options)
+        sizes.append(len(out[1]))
+        return out
+
+    monkeypatch.setattr(plans, "docs", lambda *_: docs)
+    monkeypatch.setattr(topics, "fit_lda", fitted)
+    assert plans.dictionary_filter(spark, "").count() == 2100
+    assert {x["row_id"]: x["tokens"].split() for x in plans.dictionary_docs(spark, "").collect()} == dict(rows)
+    plans.lda_topics(spark, ""), plans.lda_doc_topics(spark, "")
+    assert sizes == [2100, 2100]
+
+
 def test_labels_need_only_one_input(spark):
     w = spark.createDataFrame([(1, k, t) for k, t in enumerate(["Risk", " ", "united_states", "market"])], "topic_id long, rank long, term string")
     p = spark.createDataFrame([(2, 1, "x_y")], "topic_id long, rank long, term string")
