@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import argmax, dot, l2_normalised, norm, softmax
-from ..session import ship
+from ..session import durable, ship
 
 Embedder = Callable[[], Callable[[list[str]], np.ndarray]]
 BATCH, LEAST_BATCH = 256, 8
@@ -86,45 +86,140 @@ def sample_texts(df: DataFrame, text: str, n: int = 3000, seed: int = 42) -> Dat
     return t.orderBy(F.xxhash64(text, F.lit(seed)), text).limit(n)
 
 
-# ---------------------------------------------------------------- measures of a bounded sample
+# ---------------------------------------------------------------- measures over all rows
 
-#: Rows whose every pair is looked at; more are sampled by their hash.
-MOST_ROWS = 4000
+#: Rows of a block: the similarities of two blocks are 8 MB.
+BLOCK = 1024
+#: Similarities are ranked as whole numbers of 48 bits in steps of 2 ** -46, 16 bits in a pass.
+_STEPS, _BINS = 2.0**46, 1 << 16
 
 
-def _units(df: DataFrame, row: str, vector: str, most: int) -> DataFrame:
-    few = df.orderBy(F.xxhash64(row), row).limit(most)
-    return few.select(F.col(row).alias("row"), l2_normalised(F.col(vector)).alias("u"), F.lit(0).alias("k"))
+def _block_pairs(df: DataFrame, row: str, vector: str) -> DataFrame:
+    """(l, a, ua, r, b, ub): every block of rows beside every block, ids in order and unit vectors. Rows
+    of one id are in one block."""
+    u = df.where(F.col(vector).isNotNull()).select(F.col(row).alias("row"), l2_normalised(F.col(vector)).alias("u"))
+    u = durable(u)
+    blocks = max(1, -(-u.count() // BLOCK))
+    x = u.groupBy(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("l")).agg(F.array_sort(F.collect_list(F.struct("row", "u"))).alias("x"))
+    left = durable(x.select("l", F.col("x.row").alias("a"), F.col("x.u").alias("ua")))
+    return left.crossJoin(left.toDF("r", "b", "ub"))
 
 
-def all_pairs(df: DataFrame, row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
-    """(a, b, sim), a < b, of a bounded sample: a measure of quality, not a join of the corpus."""
-    u = _units(df, row, vector, most)
-    l, r = u.select(F.col("row").alias("a"), F.col("u").alias("ua"), "k"), u.select(F.col("row").alias("b"), F.col("u").alias("ub"), "k")
-    return l.join(F.broadcast(r), (l["k"] == r["k"]) & (F.col("a") < F.col("b"))).select("a", "b", dot(F.col("ua"), F.col("ub")).alias("sim"))
+def _unit_vectors(column: pa.Array) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.array(x.values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(x.values), -1)) for x in column]
 
 
-def pairwise_stats(df: DataFrame, row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
-    q = F.percentile("sim", F.array(F.lit(0.9), F.lit(0.99)))
-    return all_pairs(df, row, vector, most).agg(F.count("*").alias("pairs"), F.avg("sim").alias("mean"), F.get(q, 0).alias("p90"), F.get(q, 1).alias("p99"), F.avg((F.col("sim") > 0.9).cast("double")).alias("frac_above_09"))
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray | None]]:
+    """(a, ua, b, ub, same): same is where ids are equal, None for two different blocks."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one = batch.slice(k, 1)
+            a, b = one.column(1)[0].values, one.column(4)[0].values
+            same = None
+            if one.column(0)[0] == one.column(3)[0]:
+                code = a.dictionary_encode().indices.to_numpy()
+                same = code[:, None] == code[None, :]
+            yield a, _unit_vectors(one.column(2))[0], b, _unit_vectors(one.column(5))[0], same
 
 
-def nearest(df: DataFrame, k: int, row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
-    """(a, b, sim, r): the k most similar others of each row of the sample."""
-    p = all_pairs(df, row, vector, most)
-    both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k)
+def _counted_sims(prefixes: list[int] | None, shift: int):
+    """Per partition: for each prefix (None: all) how many similarities fall in each bin of the next 16 bits; with
+    bin -1 the sum of all similarities and how many are above 0.9."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(prefixes or [0]), _BINS), np.int64)
+        total, above = 0.0, 0
+        for _, u, _, v, same in _units(batches):
+            sims = u @ v.T
+            sims = sims.ravel() if same is None else sims[np.triu(~same)]
+            total, above = total + float(sims.sum()), above + int((sims > 0.9).sum())
+            codes = np.clip((np.nan_to_num(sims, nan=2.0) + 2) * _STEPS, 0, 4 * _STEPS - 1).astype(np.int64)
+            for k, prefix in enumerate(prefixes or [0]):
+                part = codes if prefixes is None else codes[codes >> (shift + 16) == prefix]
+                counts[k] += np.bincount((part >> shift) & (_BINS - 1), minlength=_BINS)
+        which, at = np.nonzero(counts)
+        columns = [np.r_[which, 0], np.r_[at, -1], np.r_[counts[which, at], above], np.r_[np.zeros(len(at)), total]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["which", "bin", "n", "total"])
+
+    return run
+
+
+def pairwise_stats(df: DataFrame, row: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """Count, mean, percentiles and share above 0.9 of the similarities of all pairs of rows. Pairs are
+    counted by bins in three passes over blocks, never listed, which gives percentiles to 2 ** -46."""
+    spark = df.sparkSession
+    ship(spark)
+    pairs = _block_pairs(df, row, vector).where("l <= r")
+
+    def counted(prefixes, shift):
+        found = pairs.mapInArrow(_counted_sims(prefixes, shift), "which bigint, bin bigint, n bigint, total double")
+        return found.groupBy("which", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).orderBy("which", "bin").toArrow().to_pydict()
+
+    schema = "pairs bigint, mean double, p90 double, p99 double, frac_above_09 double"
+    first = counted(None, 32)
+    rows = list(zip(first["which"], first["bin"], first["n"], first["total"], strict=True))
+    n = sum(x[2] for x in rows if x[1] >= 0)
+    if not n:
+        return spark.createDataFrame([(0, None, None, None, None)], schema)
+    _, _, above, total = next(x for x in rows if x[1] < 0)
+    # Each target is a rank from zero among the pairs whose code begins with its prefix.
+    where = [q * (n - 1) for q in (0.9, 0.99)]
+    targets = [(0, int(r)) for h in where for r in (np.floor(h), np.ceil(h))]
+    prefixes = [0]
+    for shift in (32, 16, 0):
+        if shift < 32:
+            prefixes = sorted({p for p, _ in targets})
+            found = counted(prefixes, shift)
+            rows = list(zip(found["which"], found["bin"], found["n"], found["total"], strict=True))
+        bins = {p: ([x[1] for x in rows if x[0] == k and x[1] >= 0], np.cumsum([x[2] for x in rows if x[0] == k and x[1] >= 0])) for k, p in enumerate(prefixes)}
+        for k, (p, rank) in enumerate(targets):
+            at = int(np.searchsorted(bins[p][1], rank, "right"))
+            targets[k] = (p << 16 | bins[p][0][at], rank - (int(bins[p][1][at - 1]) if at else 0))
+    value = [p / _STEPS - 2 for p, _ in targets]
+    p90, p99 = (low + (high - low) * (h - np.floor(h)) for h, low, high in zip(where, value[::2], value[1::2], strict=True))
+    return spark.createDataFrame([(n, total / n, float(p90), float(p99), above / n)], schema)
+
+
+def _nearest_in_units(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, u, b, v, same in _units(batches):
+            sims = u @ v.T
+            if same is not None:
+                sims[same] = -np.inf
+            one, other, scores = [], [], []
+            for q in range(len(u)):
+                s = sims[q]
+                at = np.flatnonzero(s >= (np.partition(s, -k)[-k] - 1e-9 if len(s) > k else -2))
+                # Scored again row by row, so that equal vectors tie whatever their block.
+                exact = (u[q] * v[at]).sum(axis=1)
+                best = np.lexsort((at, -exact))[:k]
+                one.append(np.full(len(best), q))
+                other.append(at[best])
+                scores.append(exact[best])
+            one, other = pa.array(np.concatenate(one)), pa.array(np.concatenate(other))
+            yield pa.RecordBatch.from_arrays([a.take(one), b.take(other), pa.array(np.concatenate(scores))], names=["a", "b", "sim"])
+
+    return run
+
+
+def nearest(df: DataFrame, k: int, row: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, sim, r): the k most similar others of each row, ties by b. Every block of rows is searched for
+    every row; a row brings k candidates from each."""
+    ship(df.sparkSession)
+    kind = df.schema[row].dataType.simpleString()
+    found = _block_pairs(df, row, vector).mapInArrow(_nearest_in_units(k), f"a {kind}, b {kind}, sim double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("r") <= k)
 
 
-def knn_stats(df: DataFrame, ks: tuple[int, ...] = (1, 5, 10), row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
+def knn_stats(df: DataFrame, ks: tuple[int, ...] = (1, 5, 10), row: str = "row_id", vector: str = "embedding") -> DataFrame:
     """Per k the mean and 90th percentile over all k-nearest similarities together."""
-    near = nearest(df, max(ks), row, vector, most).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("r <= k")
+    near = nearest(df, max(ks), row, vector).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("r <= k")
     return near.groupBy("k").agg(F.avg("sim").alias("mean"), F.percentile("sim", F.lit(0.9)).alias("p90"))
 
 
-def transfer(df: DataFrame, other: DataFrame, row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
+def transfer(df: DataFrame, other: DataFrame, row: str = "row_id", vector: str = "embedding") -> DataFrame:
     """How similar the nearest neighbours under one embedding are under another."""
-    near = nearest(df, 1, row, vector, most)
+    near = nearest(df, 1, row, vector)
     u = other.select(F.col(row).alias("row"), l2_normalised(F.col(vector)).alias("u"))
     s = near.join(u.select(F.col("row").alias("a"), F.col("u").alias("ua")), "a").join(u.select(F.col("row").alias("b"), F.col("u").alias("ub")), "b")
     q = F.percentile("s", F.array(F.lit(0.9), F.lit(0.99)))
@@ -147,17 +242,17 @@ def first_singular_share(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.sparkSession.createDataFrame([(float(values[0] / (values.sum() + 1e-9)),)], "sv1_frac double")
 
 
-def quick_silhouette(df: DataFrame, k: int = 10, seed: int = 42, row: str = "row_id", vector: str = "embedding", most: int = MOST_ROWS) -> DataFrame:
+def quick_silhouette(df: DataFrame, k: int = 10, seed: int = 42, row: str = "row_id", vector: str = "embedding") -> DataFrame:
     """Cosine silhouette of labels from a seeded projection to eight dimensions: the sum of floored
     z-scores, mod k. Null where there are fewer than two labels."""
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    few = df.orderBy(F.xxhash64(row), row).limit(most).select(F.col(row).alias("row"), F.col(vector).cast("array<double>").alias("v"))
-    d = few.select(F.size("v").alias("d")).first()["d"]
+    vectors = df.select(F.col(row).alias("row"), F.col(vector).cast("array<double>").alias("v"))
+    d = vectors.select(F.size("v").alias("d")).first()["d"]
     axes = np.random.default_rng(seed).normal(size=(8, d))
     cols = [dot(F.col("v"), F.array(*[F.lit(float(x)) for x in axis])).alias(f"p{i}") for i, axis in enumerate(axes)]
-    p = few.select("row", "v", *cols)
+    p = vectors.select("row", "v", *cols)
     stats = p.agg(*[F.avg(f"p{i}").alias(f"m{i}") for i in range(8)], *[F.stddev_pop(f"p{i}").alias(f"s{i}") for i in range(8)]).first()
     total = sum((F.floor((F.col(f"p{i}") - stats[f"m{i}"]) / (stats[f"s{i}"] + 1e-6)) for i in range(8)), F.lit(0))
     labelled = p.select(array_to_vector("v").alias("features"), F.pmod(F.abs(total), F.lit(k)).cast("int").alias("prediction"))

@@ -216,6 +216,39 @@ def test_models(spark):
     assert norms[:2] == pytest.approx([1, 1], abs=1e-5)
 
 
+def test_measures_take_every_row(spark):
+    """More rows than were once sampled, a few of them copies and one without a vector."""
+    v = np.random.default_rng(3).normal(size=(4500, 6)).astype(np.float32)
+    v[4400:] = v[:100]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(9999, None)], "row_id long, embedding array<float>")
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True) + 1e-12
+    s = u @ u.T
+    pairs = s[np.triu_indices(len(s), 1)]
+    got = embed.pairwise_stats(df).first()
+    assert got["pairs"] == len(pairs)
+    assert tuple(got)[1:] == pytest.approx((pairs.mean(), np.quantile(pairs, 0.9), np.quantile(pairs, 0.99), (pairs > 0.9).mean()), abs=1e-9)
+    np.fill_diagonal(s, -2)
+    top = -np.sort(-s, axis=1)[:, :10]
+    knn = {x["k"]: (x["mean"], x["p90"]) for x in embed.knn_stats(df).collect()}
+    assert all(knn[k] == pytest.approx((top[:, :k].mean(), np.quantile(top[:, :k], 0.9)), abs=1e-9) for k in (1, 5, 10))
+    t = v[:, ::-1] * np.arange(1, 7)
+    t /= np.linalg.norm(t, axis=1, keepdims=True) + 1e-12
+    want = (t * t[s.argmax(axis=1)]).sum(axis=1)
+    other = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(t)], "row_id long, embedding array<double>")
+    assert tuple(embed.transfer(df, other).first()) == pytest.approx((want.mean(), np.quantile(want, 0.9), np.quantile(want, 0.99)), abs=1e-6)
+
+
+def test_silhouette_takes_every_row(spark, monkeypatch):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    seen, evaluate = [], ClusteringEvaluator.evaluate
+    monkeypatch.setattr(ClusteringEvaluator, "evaluate", lambda self, rows: seen.append(rows.count()) or evaluate(self, rows))
+    v = np.random.default_rng(4).normal(size=(4100, 6))
+    embed.quick_silhouette(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "row_id long, embedding array<double>"))
+    assert seen == [4100]
+
+
 def test_embedder_halves_batches(spark):
     def picky():
         def run(texts):
