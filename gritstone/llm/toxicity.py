@@ -45,15 +45,24 @@ _SHAPES = {
 _CACHE = 300_000
 
 
+#: Words of more characters are met once as a rule (a clause without spaces, encoded data): what is found in them is not remembered.
+_LONG = 64
+
+
+def _each_gram(word: str) -> Iterator[str]:
+    """What grams() holds, one after another and some repeated, so that a word may be of any length."""
+    marked = f"^{word}$"
+    for n in (4, 5, 6):
+        yield from (marked[k : k + n] for k in range(len(marked) - n + 1))
+    yield "=" + word
+    yield from (">" + word[:n] for n in range(3, min(10, len(word))))
+    yield from ("<" + word[-n:] for n in range(3, min(10, len(word))))
+
+
 def grams(word: str) -> set[str]:
     """A word as a lexicon entry (``=word``), its beginnings and endings of 3 to 9 characters that
     something follows or precedes (``>begin``, ``<end``), and its parts of 4 to 6, ends marked."""
-    marked = f"^{word}$"
-    out = {marked[k : k + n] for n in (4, 5, 6) for k in range(len(marked) - n + 1)}
-    out.add("=" + word)
-    out.update(">" + word[:n] for n in range(3, min(10, len(word))))
-    out.update("<" + word[-n:] for n in range(3, min(10, len(word))))
-    return out
+    return set(_each_gram(word))
 
 
 def _distinct_words(text: str | None) -> set[str]:
@@ -76,11 +85,11 @@ class Votes:
             return fired, hits
         known, at = self.known, self.at
         for word in _distinct_words(text):
-            found = known.get(word)
+            found = known.get(word) if len(word) <= _LONG else {at[g] for g in _each_gram(word) if g in at}
             if found is None:
                 if len(known) >= _CACHE:
                     known.clear()
-                found = known[word] = tuple(at[g] for g in grams(word) if g in at) if len(word) <= 64 else ()
+                found = known[word] = tuple(at[g] for g in grams(word) if g in at)
             if found:
                 fired.update(found)
                 hits += 1
@@ -188,7 +197,8 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             seen = np.zeros(_BUCKETS, bool)
             for word in _distinct_words(text):
-                if len(word) > 64:
+                if len(word) > _LONG:
+                    seen[np.fromiter((zlib.crc32(g.encode()) % _BUCKETS for g in _each_gram(word)), np.int32)] = True
                     continue
                 at = known.get(word)
                 if at is None:
@@ -209,7 +219,8 @@ def _count_grams(buckets: frozenset[int]):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found: set[str] = set()
                 for word in _distinct_words(text):
-                    if len(word) > 64:
+                    if len(word) > _LONG:
+                        found.update(g for g in _each_gram(word) if zlib.crc32(g.encode()) % _BUCKETS in buckets)
                         continue
                     hit = known.get(word)
                     if hit is None:

@@ -87,6 +87,17 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
     assert toxicity.drop_toxic(odd, spark.createDataFrame([], "doc_id long, toxic int")).columns == odd.columns
 
 
+def test_long_words_vote_and_are_learned_from():
+    word = "好" * 70 + "scum" + "吗" * 70
+    assert toxicity.Votes(["scum", "=idiot"]).of(word) == ({0}, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([word, "kind"]), pa.array([1, 0])], names=["text", "toxic"])
+    found = pa.Table.from_batches(toxicity._count_buckets([batch])).to_pydict()
+    bucket = zlib.crc32(b"scum") % toxicity._BUCKETS
+    assert found["pos"][found["bucket"].index(bucket)] == 1
+    counted = pa.Table.from_batches(toxicity._count_grams(frozenset([bucket]))([batch])).to_pydict()
+    assert dict(zip(counted["gram"], counted["pos"], strict=True))["scum"] == 1
+
+
 def test_label_model_weighs_correlated_voters_once():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
