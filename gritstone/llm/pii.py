@@ -27,7 +27,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,8}[=:][ \t]{0,8}[\"']?([A-Za-z0-9/+_.-]{16,512})")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,8}[=:][ \t]{0,8}[\"']?([A-Za-z0-9/+_.-]{16,}+)")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 

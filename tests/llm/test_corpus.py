@@ -573,6 +573,12 @@ def test_own_spans_and_redaction(spark):
     assert [tuple(r) for r in pii.redact_pii(d).orderBy("doc_id").collect()] == [(1, "x <EMAIL>", "k", 9), (2, None, "k", 0)]
 
 
+@pytest.mark.parametrize("size", [16, 512, 513, 5000])
+def test_long_secrets_go_as_a_whole(size):
+    t = "token = " + ("aB3_" * size)[:size]
+    assert pii.redact(t, pii.detect(t)) == "token = <SECRET>"
+
+
 def test_runs_without_ends_take_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "a@" * 100_000, "token=" * 50_000):
         pii.detect(t)
