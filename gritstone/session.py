@@ -42,15 +42,30 @@ def ship(spark: SparkSession) -> None:
     sc._gritstone_shipped = True
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut a lineage: write to the cluster's checkpoint folder, which all executors share, and read back.
-    Where the session names none (as in tests) a folder of our own is used."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees: ``spark.checkpoint.dir``, or what setCheckpointDir was given. Only a
+    local session without either gets a folder of its own; anywhere else that is an error, since
+    executors would write to disks that the others cannot read."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        chosen = sc._jsc.sc().getCheckpointDir()
+        path = chosen.get() if chosen.isDefined() else getattr(shared_dir, "own", None)
+    if not path:
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="gritstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = shared_dir.own = "file://" + folder
+    return path.rstrip("/")
+
+
+def durable(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """Cut a lineage: write to the shared folder and read back, so that a lost executor costs a reread and
+    never a recomputation of what came before. The folder goes when the application ends."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(durable, "own", None)
-    if not base:
-        base = durable.own = "file://" + tempfile.mkdtemp(prefix="gritstone-")
-    path = f"{base.rstrip('/')}/gritstone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/gritstone-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
