@@ -3,52 +3,34 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import durable, shared_dir, ship
 
 #: Words of the contracts: runs of digits, lower-case ASCII letters and anything non-ASCII,
 #: taken from bytes in which A-Z are already lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    path = path or getattr(shared_dir, "own", None)
-    if not path:
-        path = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="gritstone-")
-    return path.rstrip("/")
+#: Write a table to the shared folder and read it back, so that a lost executor costs a reread only.
+written = durable
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage with replicated storage, so a lost executor costs a reread and never a
-    recomputation of what came before. The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gritstone-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name like the one given that no table has, in any case."""
+    used = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 #: Arrow batches of whole texts stay this small unless the session asks for other sizes.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers' path and batches of a few MB."""
     spark = df.sparkSession
     ship(spark)
@@ -69,3 +51,6 @@ def column_or_null(df: DataFrame, name: str, kind: str):
 
 def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
+
+
+__all__ = ["BATCH", "WORD", "column_or_null", "fresh", "mapped", "shared_dir", "shuffle_width", "words_of", "written"]

@@ -4,7 +4,7 @@ encoded once.
 Both tokenizers cut their input before a space or line end that stands between two non-space characters,
 and between a letter and a final run of signs, and what they make of such a piece does not depend
 on its neighbours, so a text's ids are the ids of its pieces. Texts in which other white space touches a
-space or line end are encoded whole.
+space or line end, and texts that hold the string of a special token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -40,14 +40,15 @@ def vocabulary(name: str) -> str:
 
 class Encoder:
     """Texts to ids by a tokenizers file, as little-endian unsigned integers of ``width`` bytes: two
-    where the vocabulary allows, else four. Special tokens' strings in a text are ordinary text."""
+    where the vocabulary allows, else four. Ids are those of the library with ``add_special_tokens=False``
+    and its other settings as the file has them: a special token's string in a text becomes that token."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.tails: dict[str, bytes] = {}
@@ -147,6 +148,8 @@ class Encoder:
         flat = every[np.repeat(starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
         raw, bounds = flat.tobytes(), np.r_[0, ends * self.width]
         whole = np.logical_or.reduceat(odd[at], heads) if len(heads) else np.zeros(0, bool)
+        for string in self.special:
+            whole |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
         first = [pieces[k] for k in at[heads].tolist()]
         alone = [t if w else f for t, w, f in zip(texts.to_pylist() if whole.any() else first, whole.tolist(), first, strict=True)]
         lead = self._whole(alone)
