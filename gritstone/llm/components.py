@@ -13,9 +13,9 @@ from .common import written
 
 
 def _with_minimum(pairs: DataFrame) -> DataFrame:
-    """Add to (u, v) the smallest neighbour of u. The minimum is partially aggregated before the
-    shuffle, and the join back is one whose large partitions AQE can split."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """Add to (u, v) the smallest neighbour of u. The minima are written first: the join then stands on plain
+    exchanges (or broadcasts a table whose size is known), so AQE can split the pairs of a hub."""
+    low = written(pairs.groupBy("u").agg(F.min("v").alias("m")))
     return pairs.join(low, "u")
 
 

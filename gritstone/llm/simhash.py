@@ -28,6 +28,9 @@ from .components import connected_components
 
 #: Most fingerprints that one side of a work unit holds.
 TILE = 4096
+#: A work unit's name: two hashes of its block and tiles. One of 64 bits could give two units of a very large
+#: table the same name, and a unit compared with itself would be taken for one of two sides.
+UNIT = ("unit", "unit2")
 #: Rows of a tile that are compared at once: 256 x 4096 distances are 1 MB.
 ROWS = 256
 
@@ -61,30 +64,16 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text", minima: int = 0) -> DataFrame:
-    """(doc_id, fp) and, with ``minima`` > 0, ``mins``: as many smallest permuted shingles.
-
-    fp is the unsigned fingerprint as a signed bigint. A null or blank text has fingerprint 0 (and
-    null ``mins``). Texts are read whole.
-    """
+def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the unsigned fingerprint as a signed bigint, 0 for a null or blank text. Texts are read whole."""
     source = docs.select(column_or_null(docs, id_col, "bigint").alias("doc_id"), column_or_null(docs, text_col, "binary").alias("text"))
-    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(minima)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, mins = np.zeros(batch.num_rows, np.uint64), []
-            for k, text in enumerate(batch.column(1)):
-                hashes = shingle_hashes(text.as_py(), shingle_words)
-                prints[k] = fingerprint(hashes)
-                if minima:
-                    mixed = [(hashes ^ (hashes >> np.uint64(29))) * m for m in odd] if len(hashes) else []
-                    mins.append([int(x.min().astype(np.int64)) for x in mixed] or None)
-            columns = [batch.column(0), pa.array(prints.view(np.int64))]
-            if minima:
-                columns.append(pa.array(mins, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "mins"][: len(columns)])
+            prints = np.fromiter((fingerprint(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
-    return mapped(source, run, "doc_id bigint, fp bigint" + ", mins array<bigint>" * bool(minima))
+    return mapped(source, run, "doc_id bigint, fp bigint")
 
 
 # ---------------------------------------------------------------- tiles
@@ -103,6 +92,13 @@ class _Forest:
             x = up[x]
         return x
 
+    def roots(self) -> np.ndarray:
+        """The root of each position. Roots only ever point down, so following all at once ends soon."""
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
     def join(self, x: int, y: int) -> bool:
         x, y = self.root(x), self.root(y)
         if x == y:
@@ -132,21 +128,43 @@ def unit_links(fps: np.ndarray, nodes: np.ndarray, side: np.ndarray, radius: int
     order = np.lexsort((nodes, np.bitwise_count(fps)))
     fps, nodes, side = fps[order], nodes[order], side[order]
     left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if side.any() else left
+    crossed = bool(side.any())
+    right = np.flatnonzero(side == 1) if crossed else left
     forest, links = _Forest(len(fps)), []
     for a, b in near_pairs(fps[left], fps[right], radius):
-        for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
-            if x != y and forest.join(x, y):
-                links.append((min(int(nodes[x]), int(nodes[y])), max(int(nodes[x]), int(nodes[y]))))
+        a, b = left[a], right[b]
+        if not crossed:
+            a, b = a[a < b], b[a < b]
+        # Pairs already joined through others are passed over a slice at a time, not one by one.
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            roots = forest.roots()
+            apart = roots[x] != roots[y]
+            for p, q in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                if forest.join(p, q):
+                    links.append((min(int(nodes[p]), int(nodes[q])), max(int(nodes[p]), int(nodes[q]))))
     return links
 
 
+def unit_cuts(batch: pa.RecordBatch) -> list[tuple[tuple[int, int], int, int]]:
+    """(unit, start, end) of the runs of equal units in a batch sorted by ``UNIT``."""
+    if not batch.num_rows:
+        return []
+    a, b = (batch.column(name).to_numpy() for name in UNIT)
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return [((int(a[i]), int(b[i])), int(i), int(j)) for i, j in zip(starts, np.r_[starts[1:], len(a)], strict=True)]
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+
 def _units(radius: int):
     """Rows (unit, fp, node, side) sorted by unit, whole units in one partition: links per unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        unit_now, out = None, []
+        now, out = None, []
 
         def flush():
             nonlocal held
@@ -157,23 +175,18 @@ def _units(radius: int):
                     out.extend(unit_links(rows[0].view(np.uint64), rows[1], rows[2], radius))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = batch.column(0).to_numpy()
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3)])
-            cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            for k, start in enumerate(cuts):
-                end = cuts[k + 1] if k + 1 < len(cuts) else len(unit)
-                if unit_now is not None and unit[start] != unit_now:
+            rows = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in ("fp", "node", "side")])
+            for unit, start, end in unit_cuts(batch):
+                if unit != now:
                     flush()
-                unit_now = unit[start]
+                now = unit
                 held.append(rows[:, start:end])
             if len(out) >= 1 << 14:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                yield _links(out)
                 out.clear()
         flush()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+            yield _links(out)
 
     return run
 
@@ -183,7 +196,7 @@ def tile_units(keyed: DataFrame, carried: list[str], reach: int, tile: int = TIL
 
     A block of up to ``tile`` rows is one unit. A larger one is cut into tiles by ``pop`` and a
     salt; each pair of tiles whose ``pop`` differ by at most ``reach`` is a unit, with the rows of
-    one tile on side 0 and of the other on side 1. Returns (unit, carried..., side), units whole
+    one tile on side 0 and of the other on side 1. Returns (unit, unit2, carried..., side), units whole
     within a partition and sorted. ``counted`` may give the same (block, pop) rows without what is
     carried, to be counted in its place.
     """
@@ -194,16 +207,15 @@ def tile_units(keyed: DataFrame, carried: list[str], reach: int, tile: int = TIL
     # Written, so that both sides of the join are plain exchanges and AQE may split a hot block's partition.
     sizes = written(sizes.select("block", "size", F.when(F.col("size") > tile, F.col("salts")).alias("salts")))
     rows = keyed.join(sizes, "block")
-    small = rows.where("salts is null").select(F.xxhash64("block", F.lit(0)).alias("unit"), *carried, F.lit(0).cast("byte").alias("side"))
+    named = lambda *parts: [F.xxhash64(F.lit(k), *parts).alias(name) for k, name in enumerate(UNIT)]
+    small = rows.where("salts is null").select(*named(F.col("block")), *carried, F.lit(0).cast("byte").alias("side"))
     # A row of a large block goes to each tile pair that its own tile belongs to.
     large = rows.where("salts is not null").withColumn("salt", F.pmod(F.xxhash64("node"), F.element_at("salts", F.col("pop"))).cast("int"))
     near = F.expr(f"filter(flatten(transform(map_entries(salts), e -> transform(sequence(0, e.value - 1), s -> struct(e.key as pop, s as salt)))), t -> abs(t.pop - pop) <= {reach})")
     large = large.withColumn("other", F.explode(near))
     own, other = F.struct("pop", "salt"), F.struct(F.col("other.pop"), F.col("other.salt"))
-    large = large.select(
-        F.xxhash64("block", F.least(own, other), F.greatest(own, other)).alias("unit"), *carried, (own > other).cast("byte").alias("side"),
-    )
-    return small.unionByName(large).repartition(width, "unit").sortWithinPartitions("unit")
+    large = large.select(*named(F.col("block"), F.least(own, other), F.greatest(own, other)), *carried, (own > other).cast("byte").alias("side"))
+    return small.unionByName(large).repartition(width, *UNIT).sortWithinPartitions(*UNIT)
 
 
 def links_in_blocks(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:

@@ -407,7 +407,8 @@ def repeated_strings(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
 
     # One occurrence stands for all that have the same segment.
     kinds = written(shared.where("not alike").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos")).alias("at")))
-    hot = kinds.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot_segments).select("anchor", F.lit(True).alias("hot"))
+    # Few rows, and written: the join has no aggregate between an exchange and itself.
+    hot = written(kinds.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > hot_segments).select("anchor", F.lit(True).alias("hot")))
     wanted = kinds.join(hot, "anchor", "left").groupBy(F.col("at.key").alias("key")).agg(
         F.collect_list(F.struct("anchor", "segment", F.col("at.pos").alias("pos"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places")
     )
