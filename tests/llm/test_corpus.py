@@ -307,15 +307,56 @@ def brute_hits(rows, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("pass_bytes", [decontaminate.PASS_BYTES, 3000])
-def test_contamination(spark, docs, rows, pass_bytes, monkeypatch):
+@pytest.mark.parametrize("pass_bytes", [decontaminate.PASS_BYTES, 6000])
+def test_contamination(spark, docs, rows, pass_bytes):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    items += [(500, None), (501, " . "), (502, "hathe"), (503, "of the"), (504, items[0][1]), (505, "a b a b a b a b a b a b")]
-    extra = [(9000, "of the of the, of THE"), (9001, "a b " * 40), (9002, None), (9003, "x " + items[1][1] + " y")]
+    items += [(500, None), (501, " . "), (502, "hathe"), (503, "of the"), (504, items[0][1]), (505, "a b a b a b a b a b a b"), (None, "no id at all"), (None, items[2][1]), (505, "a b a b a b a b a b a b")]
+    extra = [(9000, "of the of the, of THE"), (9001, "a b " * 40), (9002, None), (9003, "x " + items[1][1] + " y"), (9003, "x " + items[1][1] + " y"), (None, "No, id at all")]
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame(rows + extra, "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "_passes", lambda x, _, f=decontaminate._passes: f(x, pass_bytes))
-    assert sorted(tuple(r) for r in decontaminate.contamination_report(d, b).collect()) == sorted(brute_hits(rows + extra, items))
+    want = brute_hits(rows + extra, items)
+    got = decontaminate.contamination_report(d, b, pass_bytes=pass_bytes)
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(tuple(map(str, r)) for r in want)
+    assert (len(decontaminate._passes(b, 10, pass_bytes)) > 1) == (pass_bytes < 100_000)
+    kept = decontaminate.drop_contaminated(d, b, pass_bytes=pass_bytes).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(i) for i, *_, bad in want if not bad)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 10])
+def test_wu_manber_against_comparing_everything(size):
+    r = random.Random(size)
+    word = lambda: f"w{r.randint(0, 12)}"
+    items = [(str(k), " ".join(word() for _ in range(r.randint(0, 30)))) for k in range(30)]
+    texts = [(k, " ".join(word() if r.random() < 0.9 else "other" for _ in range(r.randint(0, 300)))) for k in range(40)]
+    texts += [(100 + k, f"other {t} other {t}") for k, (_, t) in enumerate(items)]
+    s = decontaminate.Searcher([(i, t.encode()) for i, t in items], size)
+    for (_, t), want in zip(texts, brute_hits(texts, items, size), strict=True):
+        spans, met = s.spans(t.encode().split())
+        hit = sum(b - a for a, b in decontaminate._merged(spans))
+        assert (hit, len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()) == want[2:5]
+
+
+def test_long_items_are_cut_without_losing_a_window():
+    words = [f"w{k}".encode() for k in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([b" ".join(words), b"one two", None], pa.binary())], names=["item", "text"])
+    out = pa.Table.from_batches(decontaminate._cut(10, 64)([batch])).to_pylist()
+    windows = lambda pieces: {tuple(w[k : k + 10]) for w in pieces for k in range(max(1, len(w) - 9))}
+    assert windows([x["words"].split() for x in out if x["item"] == "a"]) == windows([words])
+    assert [x["words"] for x in out if x["item"] != "a"] == [b"one two"] and len(out) > 10
+
+
+def test_benchmark_tables_are_small_beside_their_text():
+    """MB of a worker's tables for a MB of benchmark words."""
+    import tracemalloc
+
+    r = random.Random(1)
+    words = [f"word{k}" for k in range(30_000)]
+    pieces = [(str(k), " ".join(r.choices(words, k=2000)).encode()) for k in range(60)]
+    tracemalloc.start()
+    s = decontaminate.Searcher(pieces)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert s.items and held < 16 * sum(len(t) for _, t in pieces)
 
 
 def test_contamination_on_odd_rows(spark, odd, empty):
@@ -325,6 +366,23 @@ def test_contamination_on_odd_rows(spark, odd, empty):
     assert decontaminate.contamination_report(odd, b.limit(0)).where("contaminated").count() == 0
     kept = decontaminate.drop_contaminated(odd, b)
     assert kept.columns == odd.columns and kept.count() == 5
+    assert decontaminate.drop_contaminated(empty, b).count() == 0
+
+
+#: Names that operators use or once used inside.
+CLASHING = ("_rows", "_id", "_text_hash", "_body", "_words", "_spans", "_items", "_h1", "n_words", "spans", "item_ids", "body", "node", "score", "unit", "component", "a", "b", "value")
+
+
+def test_stages_pass_clashing_columns_through(spark):
+    rows = [(1, "one two three", *CLASHING), (2, "one two three", *CLASHING), (3, "idiot scum", *CLASHING), (4, None, *CLASHING), (None, "card 4111 1111 1111 1111", *CLASHING)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    b = spark.createDataFrame([(1, "idiot scum")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for kept, n in ((near_copies.keep_one(d), 4), (decontaminate.drop_contaminated(d, b), 4), (decontaminate.drop_contaminated(d, b, pass_bytes=1), 4), (pii.redact_pii(d), 5), (toxicity.drop_toxic(d, labels), None)):
+        assert kept.columns == d.columns
+        got = kept.collect()
+        assert n is None or len(got) == n
+        assert all(tuple(r)[2:] == CLASHING for r in got)
 
 
 # ---------------------------------------------------------------- 6
