@@ -38,8 +38,9 @@ def encode(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
 class Reader:
     """A file read in place; nothing is decoded before it is asked for."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data):
+        """data: the file's bytes, or any buffer of them, which is not copied."""
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a token file")
         docs, self.size, depth = struct.unpack_from("<QQQ", data, 8)
         at = 32

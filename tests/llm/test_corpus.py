@@ -465,14 +465,24 @@ def test_codes_give_random_access():
 
 
 @pytest.mark.parametrize("file_ids", [1 << 20, 3000])
-def test_token_store(spark, docs, rows, file_ids, monkeypatch):
-    monkeypatch.setattr(token_store, "FILE_IDS", file_ids)
-    monkeypatch.setattr(token_store, "RANGE_DOCS", 60)
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_store.token_report(docs).collect()}
-    at = 0
-    for (i, _), ids in zip(rows, encoded("word_bpe_49k.json", [t for _, t in rows], 1), strict=True):
-        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
+def test_token_store(spark, docs, rows, file_ids):
+    # A third of the rows share one id, and some lack one: ranges are cut by id and text.
+    more = [*rows, *((7, f"{t} again") for _, t in rows[: len(rows) // 2]), (None, "no id"), (None, None)]
+    d = spark.createDataFrame(more, "doc_id long, text string").repartition(3)
+    store = token_store.write_tokens(d, range_bytes=60_000, file_ids=file_ids)
+    assert store.select("range").distinct().count() > 3
+    got = sorted(token_store.read_tokens(store).collect(), key=lambda r: r["start"])
+    every = encoded("word_bpe_49k.json", [t for _, t in more], 1)
+    want = sorted((i is not None, i or 0, len(ids), zlib.crc32(ids.tobytes())) for (i, _), ids in zip(more, every, strict=True))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert keys == sorted(keys)
+    ends = np.cumsum([r["n_tokens"] for r in got])
+    assert [r["start"] for r in got] == [0, *ends[:-1]]
+    by_crc = {(len(ids), zlib.crc32(ids.tobytes())): ids for ids in every}
+    whole = np.concatenate([by_crc[r["n_tokens"], r["ids_crc32"]] for r in got])
+    at = [0, 1, 17, len(whole) // 2, len(whole) - 1]
+    assert {r["position"]: r["token"] for r in token_store.tokens_at(store, [*at, len(whole)]).collect()} == {k: int(whole[k]) for k in at}
 
 
 def test_token_store_on_odd_rows(odd, empty):
