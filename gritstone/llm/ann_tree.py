@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every row is then assigned to a leaf by walking down. A query
-walks the tree with a priority queue: it goes down to the nearest child, keeps the other children
-in the queue by their distance, and opens the nearest of them when it has reached a leaf. Leaf visits
-are widened until a calibration set, whose true neighbours are found by brute force over all rows,
-reaches the recall asked for. Inner products are turned into distances by one more coordinate that
-gives all vectors the same length, so the order of visits fits vectors of any norm.
+The tree is fitted on a sample that grows with the table up to a bound, and so do its leaves in number;
+every row is then assigned to a leaf by walking down. A query walks the tree with a priority queue:
+it goes down to the nearest child, keeps the other children in the queue by their distance, and
+opens the nearest of them when it has reached a leaf. Leaf visits are widened until a calibration set,
+whose true neighbours are found by brute force over all rows, reaches the recall asked for, and for
+each query until the leaves hold enough rows. Inner products are turned into distances by one more
+coordinate that gives all vectors the same length, so the order of visits fits vectors of any norm.
+
+Equal vectors are one class, searched and asked for once: of its rows only the smallest ids can be
+among anyone's nearest. Leaves are dealt to units of bounded size; queries travel to the units whose
+leaves they open and stream through them, so no row is copied and no list of queries is held.
 """
 
 from __future__ import annotations
@@ -15,23 +20,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_or_null, mapped, shuffle_width, written
 
-#: Most rows that the tree is fitted on, rows of a leaf aimed at in the sample, children of a node.
-SAMPLE, LEAF_ROWS, BRANCH = 20_000, 256, 8
+#: Rows that the tree is fitted on: a tenth of the table between these bounds. Children of a node.
+LEAST_SAMPLE, MOST_SAMPLE, BRANCH = 20_000, 100_000, 8
+#: Rows of the table that a leaf is aimed at, and the bounds of what that may be in the sample.
+LEAF_ROWS, LEAST_LEAF, MOST_LEAF = 1024, 16, 256
 #: Queries whose true neighbours calibrate the leaf visits, and the recall they must reach.
 CALIBRATION, RECALL = 256, 0.97
-#: Rows and queries of one work unit.
-UNIT_ROWS, UNIT_QUERIES = 8192, 2048
+#: Bounds of the rows of a work unit.
+LEAST_UNIT, MOST_UNIT = 1024, 65_536
 
 
 class Tree:
     """Nodes with centres; a leaf has a number. Small: its size depends on the sample only."""
 
-    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaf_rows: int = LEAF_ROWS, seed: int = 7):
+    def __init__(self, sample: np.ndarray, branch: int = BRANCH, leaf_rows: int = MOST_LEAF, seed: int = 7):
         self.children: list[np.ndarray] = []  # node numbers, empty for a leaf
         self.centres: list[np.ndarray] = []  # of the children
         self.leaf: list[int] = []
@@ -78,10 +85,10 @@ class Tree:
             todo.extend((int(child), at[near == k]) for k, child in enumerate(self.children[node]) if (near == k).any())
         return out
 
-    def visits(self, query: np.ndarray, most: int | None = None) -> list[int]:
+    def visits(self, query: np.ndarray) -> Iterator[int]:
         """Leaves in the order in which best-bin-first opens them."""
-        queue, found = [(0.0, 0)], []
-        while queue and (most is None or len(found) < most):
+        queue = [(0.0, 0)]
+        while queue:
             _, node = heapq.heappop(queue)
             while self.leaf[node] < 0:
                 away = ((self.centres[node] - query) ** 2).sum(axis=1)
@@ -90,8 +97,7 @@ class Tree:
                     if k != best:
                         heapq.heappush(queue, (float(away[k]), child))
                 node = int(self.children[node][best])
-            found.append(self.leaf[node])
-        return found
+            yield self.leaf[node]
 
 
 def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -106,89 +112,100 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k largest scores, ties to the smaller id."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge)
+def _best(rows: np.ndarray, scores: np.ndarray, ids: list[np.ndarray], query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the rows of the classes ``rows`` that can be among the k nearest whatever one id is
+    left out: by score and id, k rows of an id and 2 k in all. The scores given only propose classes:
+    the measure is summed anew, in one order for all, so that it depends on the vectors alone."""
+    most = 2 * k
+    if len(scores) > most:
+        edge = np.partition(scores, len(scores) - most)[len(scores) - most]
+        there = np.flatnonzero(scores >= edge - 1e-9 * (1 + abs(edge)))
     else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
-
-
-def _exact_top(scores: np.ndarray, rows: np.ndarray, query: np.ndarray, ids: np.ndarray, there: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of the k best rows among ``there``. The block product only proposes rows: the
-    measure is summed anew, in one order for all rows, so that equal vectors tie exactly."""
-    near = scores[there]
-    if len(near) > k:
-        edge = np.partition(near, len(near) - k)[len(near) - k]
-        there = there[near >= edge - 1e-9 * (1 + abs(edge))]
+        there = np.arange(len(scores))
     exact = (rows[there] * query).sum(axis=1)
-    best = np.lexsort((ids[there], -exact))[:k]
-    return there[best], exact[best]
-
-
-def _vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, float]:
-    """(vec_id, v) of the rows that take part, their number of components and largest norm."""
+    held = [ids[t] for t in there]
+    every = np.concatenate(held) if held else np.zeros(0, np.int64)
+    measure = np.repeat(exact, [len(x) for x in held])
+    order = np.lexsort((every, -measure))
+    every, measure = every[order], measure[order]
+    if len(np.unique(every)) < len(every):  # repeated ids: rank within each
+        by_id = np.argsort(every, kind="stable")
+        first = np.r_[True, every[by_id][1:] != every[by_id][:-1]]
+        rank = np.empty(len(every), np.int64)
+        rank[by_id] = np.arange(len(every)) - np.maximum.accumulate(np.where(first, np.arange(len(every)), 0))
+        every, measure = every[rank < k], measure[rank < k]
+    return every[:most], measure[:most]
+
+
+def _vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, float, int]:
+    """(vec_id, v) of the rows that take part, their number of components, largest norm and count."""
     rows = table.select(column_or_null(table, id_col, "bigint").alias("vec_id"), column_or_null(table, vector_col, "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite).where(F.exists("v", lambda x: x != 0))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    seen = rows.agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(norm).alias("norm")).first()
+    seen = rows.agg(F.max(F.size("v")).alias("most"), F.min(F.size("v")).alias("least"), F.max(norm).alias("norm"), F.count("*").alias("n")).first()
     if seen["most"] != seen["least"]:
         raise ValueError(f"vectors of {seen['least']} to {seen['most']} components")
-    return rows, seen["most"] or 0, seen["norm"] or 0.0
+    return rows, seen["most"] or 0, seen["norm"] or 0.0, seen["n"]
+
+
+def _classes(rows: DataFrame, k: int) -> DataFrame:
+    """(v, ids): equal vectors with the ids that can be among the k nearest of any query, whichever id that has:
+    k rows of an id and the smallest 2 k in all. The ranks are limited before the shuffle too, so a
+    vector that a third of the rows share does not gather in one task."""
+    hashed = rows.withColumn("h", F.xxhash64("v"))
+    same = hashed.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "vec_id").orderBy("vec_id"))).where(F.col("r") <= k)
+    small = same.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= 2 * k)
+    return small.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids")
 
 
 def _unit_search(size: int, k: int):
-    """Rows (unit, side, id, leaf, v, open) of whole units: side 0 the unit's rows, side 1 its queries
-    with the leaves they open. Gives each query's best k of the unit; rows of the query's own id are
-    left out."""
+    """Rows (unit, side, v, ids, leaf, rep, open) sorted by unit and side, whole units in a partition: side 0 the
+    unit's classes, side 1 the queries with those of its leaves that they open. Gives (rep, ids,
+    scores) for each query of each unit. Only one unit's classes are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
+        now, held = None, []
+        rows = ids = spans = None
 
-        def close():
+        def build():
             t = pa.Table.from_batches(held).combine_chunks()
-            side = t.column("side").to_numpy()
-            at, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(at) or not len(q):
-                return None
-            every = _matrix(t.column("v").combine_chunks(), size)
-            ids, leaf = t.column("vec_id").to_numpy(), t.column("leaf").to_numpy()
-            rows, row_ids, row_leaf = every[at], ids[at], leaf[at]
-            opened = t.column("open").take(pa.array(q)).to_pylist()
-            out_q, out_id, out_score = [], [], []
-            leaves = int(row_leaf.max()) + 1
-            for lo in range(0, len(q), 256):
-                part = q[lo : lo + 256]
-                scores = every[part] @ rows.T
-                for m, j in enumerate(part):
-                    mask = np.zeros(leaves, bool)
-                    wanted = np.array(opened[lo + m], np.int64)
-                    mask[wanted[wanted < leaves]] = True
-                    there = np.flatnonzero(mask[row_leaf] & (row_ids != ids[j]))
-                    best, measure = _exact_top(scores[m], rows, every[j], row_ids, there, k)
-                    if len(best):
-                        out_q.append(int(ids[j]))
-                        out_id.append(row_ids[best])
-                        out_score.append(measure)
-            return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.list_(pa.int64())), pa.array(out_score, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+            order = np.argsort(t.column("leaf").to_numpy(), kind="stable")
+            vectors = _matrix(t.column("v").combine_chunks(), size)[order]
+            lists = t.column("ids").take(pa.array(order)).combine_chunks()
+            flat, edges = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            leaf = t.column("leaf").to_numpy()[order]
+            first = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+            ends = np.r_[first[1:], len(leaf)]
+            return vectors, [flat[a:b] for a, b in zip(edges - edges[0], (edges - edges[0])[1:], strict=False)], {int(leaf[a]): (a, b) for a, b in zip(first, ends, strict=True)}
+
+        def ask(part: pa.RecordBatch):
+            out = []
+            for rep, query, opened in zip(part.column("rep").to_pylist(), _matrix(part.column("v"), size), part.column("open").to_pylist(), strict=True):
+                there = [spans[x] for x in opened if x in spans]
+                if there:
+                    near = np.concatenate([rows[a:b] for a, b in there]) if len(there) > 1 else rows[there[0][0] : there[0][1]]
+                    lists = [x for a, b in there for x in ids[a:b]]
+                    out.append((rep, *_best(near, near @ query, lists, query, k)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["rep", "ids", "scores"]
+            )
 
         for batch in batches:
-            unit = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else []
-            for c, start in enumerate(cuts):
-                end = cuts[c + 1] if c + 1 < len(cuts) else len(unit)
-                if held and unit[start] != now:
-                    if (found := close()) is not None:
-                        yield found
-                    held = []
-                now = unit[start]
-                held.append(batch.slice(start, end - start))
-        if held and (found := close()) is not None:
-            yield found
+            if not batch.num_rows:
+                continue
+            unit, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(unit)], strict=True):
+                part = batch.slice(start, end - start)
+                if unit[start] != now:
+                    now, held, rows, spans = unit[start], [], None, {}
+                if side[start] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    (rows, ids, spans), held = build(), []
+                yield ask(part)
 
     return run
 
@@ -199,54 +216,80 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     Returns query_id, rank (from 1), vec_id, score (the inner product in double precision); ties go
     to the smaller id. All rows but the query's own (by id) are candidates. Vectors that are null, zero
     or hold nulls or non-finite components, and rows without an id, take no part. Rows that repeat an
-    id are candidates each; queries are distinct rows by id, the first of equals by vector. An empty table gives an
-    empty result; vectors of different lengths are an error.
+    id are candidates each; queries are distinct rows by id, the first of equals by vector. A query
+    has fewer than k rows only where there are not that many candidates. An empty table gives an empty
+    result; vectors of different lengths are an error. Other columns, whatever their names, are not read.
     """
     spark = table.sparkSession
-    rows, size, norm = _vectors(table, id_col, vector_col)
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    rows, size, norm, n = _vectors(table, id_col, vector_col)
     if not size:
-        return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id", "v")).limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
-    tree = Tree(_lifted(_matrix(sample.column("v").combine_chunks(), size), norm))
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    tree = _fit(rows, size, norm, n)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.assign(_lifted(_matrix(batch.column(1), size), norm))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["vec_id", "v", "leaf"])
-
-    placed = written(mapped(rows, leaves, "vec_id bigint, v array<double>, leaf int"))
-    queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    visits = _calibrate(placed, queries, tree, size, norm, k, recall)
-
-    blocks = max(1, -(-queries.count() // UNIT_QUERIES))
-    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    first, salts = _shards([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
+            leaf = tree.assign(_lifted(_matrix(batch.column(0), size), norm))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["v", "ids", "leaf"])
+
+    placed = written(mapped(_classes(rows, k), leaves, "v array<double>, ids array<bigint>, leaf int"))
+    asked = written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v")))
+    # Queries with equal vectors are asked once, under the smallest of their ids.
+    groups = written(asked.groupBy("h", "v").agg(F.min("vec_id").alias("rep")))
+    visits = _calibrate(placed, groups, tree, size, norm, k, recall)
+    met = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()  # a row for each leaf
+    classes, ids = {r["leaf"]: r["n"] for r in met}, {r["leaf"]: r["ids"] for r in met}
+    width = shuffle_width(spark)
+    unit_rows = min(MOST_UNIT, max(LEAST_UNIT, sum(classes.values()) // (4 * width)))
+    first, salts = _shards([classes.get(leaf, 0) for leaf in range(tree.leaves)], unit_rows)
 
     def opens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # A query counts only through its direction; its own lift is zero.
-            lifted = np.c_[_matrix(batch.column(1), size), np.zeros(batch.num_rows)]
-            lifted *= norm / np.sqrt((lifted**2).sum(axis=1, keepdims=True))
-            found = [sorted(tree.visits(x, visits)) for x in lifted]
-            met = [sorted({first[leaf] + m for leaf in x for m in range(salts[leaf])}) for x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32())), pa.array(met, pa.list_(pa.int64()))], names=["vec_id", "v", "open", "shards"])
-
+            units, opened = [], []
+            for x in _directions(_matrix(batch.column(1), size), norm):
+                by_unit: dict[int, list[int]] = {}
+                enough, made = 0, 0
+                for leaf in tree.visits(x):
+                    for unit in range(first[leaf], first[leaf] + salts[leaf]):
+                        by_unit.setdefault(unit, []).append(leaf)
+                    made, enough = made + 1, enough + ids.get(leaf, 0)
+                    # The query's own rows may be among those counted.
+                    if made >= visits and enough > 2 * k:
+                        break
+                units.append(list(by_unit))
+                opened.append(list(by_unit.values()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.list_(pa.int32())))], names=["rep", "v", "units", "opened"])
+
+    # Proportional to the leaves, which the sample bounds.
     shards = F.broadcast(spark.createDataFrame([(leaf, first[leaf], salts[leaf]) for leaf in range(tree.leaves)], "leaf int, first bigint, salts int"))
-    unit = (F.col("shard") * blocks + F.col("block")).alias("unit")
-    left = placed.join(shards, "leaf").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.col("salts")))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = left.select(unit, F.lit(0).alias("side"), "vec_id", "leaf", "v", F.lit(None).cast("array<int>").alias("open"))
-    asked = mapped(queries, opens, "vec_id bigint, v array<double>, open array<int>, shards array<bigint>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode("shards"))
-    right = asked.select(unit, F.lit(1).alias("side"), "vec_id", F.lit(-1).alias("leaf"), "v", "open")
-    units = left.unionByName(right).repartition(shuffle_width(spark), "unit").sortWithinPartitions("unit")
-    found = mapped(units, _unit_search(size, k), "query_id bigint, ids array<bigint>, scores array<double>")
-    return _merged_top(found, k)
-
-
-def _shards(sizes: list[int], rows: int = UNIT_ROWS) -> tuple[list[int], list[int]]:
-    """(first shard, number of shards) of each leaf: a large leaf has several of its own, small ones that
+    unit = (F.col("first") + F.pmod(F.xxhash64("v"), F.col("salts"))).alias("unit")
+    left = placed.join(shards, "leaf").select(unit, F.lit(0).alias("side"), "v", "ids", "leaf", F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("array<int>").alias("open"))
+    sent = mapped(groups.select("rep", "v"), opens, "rep bigint, v array<double>, units array<bigint>, opened array<array<int>>")
+    sent = sent.select("rep", "v", F.explode(F.arrays_zip("units", "opened")).alias("x"))
+    right = sent.select(F.col("x.units").alias("unit"), F.lit(1).alias("side"), "v", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("int").alias("leaf"), "rep", F.col("x.opened").alias("open"))
+    units = left.unionByName(right).repartition(width, "unit").sortWithinPartitions("unit", "side")
+    found = mapped(units, _unit_search(size, k), "rep bigint, ids array<bigint>, scores array<double>")
+    return _nearest_of(found, asked, groups, k)
+
+
+def _fit(rows: DataFrame, size: int, norm: float, n: int) -> Tree:
+    """A tree on a tenth of the rows, LEAST_SAMPLE to MOST_SAMPLE of them, picked by hash."""
+    wanted = min(MOST_SAMPLE, max(LEAST_SAMPLE, n // 10))
+    share = int(min(1.0, wanted / max(1, n)) * (1 << 30))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < share) if n > wanted else rows
+    sample = picked.select("v").limit(2 * MOST_SAMPLE).toArrow()  # about `wanted` rows
+    vectors = np.unique(_matrix(sample.column("v").combine_chunks(), size), axis=0)
+    leaf_rows = int(min(MOST_LEAF, max(LEAST_LEAF, LEAF_ROWS * len(vectors) / max(1, n))))
+    return Tree(_lifted(vectors, norm), leaf_rows=leaf_rows)
+
+
+def _directions(vectors: np.ndarray, norm: float) -> np.ndarray:
+    """Queries in the lifted space: only their direction counts, and their own lift is zero."""
+    lifted = np.c_[vectors, np.zeros(len(vectors))]
+    return lifted * (norm / np.sqrt((lifted**2).sum(axis=1, keepdims=True)))
+
+
+def _shards(sizes: list[int], rows: int) -> tuple[list[int], list[int]]:
+    """(first unit, number of units) of each leaf: a large leaf has several of its own, small ones that
     follow each other share one."""
     first, salts, shard, room = [], [], 0, rows
     for n in sizes:
@@ -265,45 +308,76 @@ def _shards(sizes: list[int], rows: int = UNIT_ROWS) -> tuple[list[int], list[in
     return first, salts
 
 
-def _merged_top(found: DataFrame, k: int) -> DataFrame:
-    """The best k of each query from its units' lists: as many short lists as it met units."""
+def _nearest_of(found: DataFrame, asked: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """The best k of each query from its units' lists, without its own id: as many short lists as it met units."""
     pairs = F.arrays_zip(F.transform("scores", lambda x: -x).alias("neg"), F.col("ids").alias("id"))
-    best = found.select("query_id", pairs.alias("p")).groupBy("query_id").agg(F.flatten(F.collect_list("p")).alias("p"))
-    best = best.select("query_id", F.posexplode(F.slice(F.array_sort("p"), 1, k)).alias("rank", "x"))
+    lists = written(found.select("rep", pairs.alias("p")).groupBy("rep").agg(F.flatten(F.collect_list("p")).alias("p")))
+    named = asked.join(groups, ["h", "v"]).select("vec_id", "rep")
+    best = named.join(lists, "rep").withColumn("p", F.filter("p", lambda x: x["id"] != F.col("vec_id")))
+    best = best.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(F.array_sort("p"), 1, k)).alias("rank", "x"))
     return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.neg")).alias("score"))
 
 
-def _calibrate(placed: DataFrame, queries: DataFrame, tree: Tree, size: int, norm: float, k: int, recall: float) -> int:
-    """Leaf visits that find ``recall`` of the true neighbours of a bounded set of queries."""
-    asked = queries.orderBy(F.xxhash64("vec_id", F.lit(1))).limit(CALIBRATION).toArrow()
-    if not asked.num_rows:
-        return 1
-    ids, vectors = asked.column("vec_id").to_numpy(), _matrix(asked.column("v").combine_chunks(), size)
+def _true_neighbours(placed: DataFrame, asked: list[int], vectors: np.ndarray, size: int, k: int) -> list[list[tuple[int, int]]]:
+    """(id, leaf) of the true k nearest of a bounded set of queries, by brute force over all classes."""
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(ids)
+        best: list[list[tuple[float, int, int]]] = [[] for _ in asked]
         for batch in batches:
-            rows, row_ids, leaf = _matrix(batch.column(1), size), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            if not batch.num_rows:
+                continue
+            rows, lists, leaf = _matrix(batch.column(0), size), batch.column(1), batch.column(2).to_pylist()
             scores = vectors @ rows.T
-            for q in range(len(ids)):
-                there = np.flatnonzero(row_ids != ids[q])
-                at = there[_top(scores[q, there], row_ids[there], k)]
-                s, i, f = (np.concatenate(x) for x in zip(best[q], (scores[q, at], row_ids[at], leaf[at]), strict=True))
-                at = _top(s, i, k)
-                best[q] = (s[at], i[at], f[at])
-        for q, (s, i, f) in enumerate(best):
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(s), pa.int32()), pa.array(s, pa.float64()), pa.array(i, pa.int64()), pa.array(f, pa.int32())], names=["q", "score", "vec_id", "leaf"])
-
-    from pyspark.sql import Window
-
-    top = mapped(placed, brute, "q int, score double, vec_id bigint, leaf int")
-    true = top.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k).select("q", "leaf").collect()
-    if not true:
+            for q, own in enumerate(asked):
+                # One more class than neighbours: one may hold the query alone.
+                near = np.argpartition(-scores[q], k)[: k + 1] if len(rows) > k + 1 else np.arange(len(rows))
+                new = [(-float(scores[q, c]), i, leaf[c]) for c in near.tolist() for i in lists[c].as_py() if i != own]
+                best[q] = sorted(best[q] + new)[:k]
+        flat = [(q, s, i, f) for q, rows in enumerate(best) for s, i, f in rows]
+        columns = list(zip(*flat, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names=["q", "s", "vec_id", "leaf"])
+
+    top = mapped(placed.select("v", "ids", "leaf"), brute, "q int, s double, vec_id bigint, leaf int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("s", "vec_id"))
+    out: list[list[tuple[int, int]]] = [[] for _ in asked]
+    for r in top.withColumn("r", rank).where(F.col("r") <= k).select("q", "vec_id", "leaf").collect():  # k rows a query
+        out[r["q"]].append((r["vec_id"], r["leaf"]))
+    return out
+
+
+def _queries(groups: DataFrame, size: int, salt: int, most: int) -> tuple[list[int], np.ndarray]:
+    """At most ``most`` queries, picked by hash."""
+    asked = groups.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(salt))).limit(most).toArrow()
+    return asked.column("rep").to_pylist(), _matrix(asked.column("v").combine_chunks(), size) if asked.num_rows else np.zeros((0, size))
+
+
+def _calibrate(placed: DataFrame, groups: DataFrame, tree: Tree, size: int, norm: float, k: int, recall: float) -> int:
+    """Leaf visits that find ``recall`` of the true neighbours of a bounded set of queries."""
+    asked, vectors = _queries(groups, size, 1, CALIBRATION)
+    if not asked:
         return 1
     when = []
-    for q in range(len(ids)):
-        direction = np.r_[vectors[q] * norm / np.sqrt((vectors[q] ** 2).sum()), 0.0]
-        rank = {leaf: n for n, leaf in enumerate(tree.visits(direction), 1)}
-        when.extend(rank[r["leaf"]] for r in true if r["q"] == q)
+    for direction, true in zip(_directions(vectors, norm), _true_neighbours(placed, asked, vectors, size, k), strict=True):
+        rank = {leaf: m for m, leaf in enumerate(tree.visits(direction), 1)}
+        when.extend(rank[leaf] for _, leaf in true)
     # Widen visit by visit: the smallest number with which enough true neighbours are met.
-    return int(np.quantile(np.array(when), recall, method="higher"))
+    return int(np.quantile(np.array(when), recall, method="higher")) if when else 1
+
+
+def measured_recall(table: DataFrame, found: DataFrame, k: int = 20, every: int = 20, queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """The share of true neighbours that a search found, over queries that did not calibrate it (all others
+    where there are few). Brute force over all rows."""
+    rows, size, _, _ = _vectors(table, id_col, vector_col)
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    groups = asked.groupBy("v").agg(F.min("vec_id").alias("rep"))
+    used = set(_queries(groups, size, 1, CALIBRATION)[0])
+    ids, vectors = _queries(groups, size, 2, queries + len(used))
+    fair = [m for m, i in enumerate(ids) if i not in used][:queries]
+    ids, vectors = [ids[m] for m in fair], vectors[fair]
+    if not ids:
+        return 1.0
+    true = _true_neighbours(rows.select("v", F.array("vec_id").alias("ids"), F.lit(0).alias("leaf")), ids, vectors, size, k)
+    met: dict[int, set[int]] = {}
+    for r in found.where(F.col("query_id").isin(ids)).select("query_id", "vec_id").collect():  # k rows a query
+        met.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return sum(len(met.get(i, set()) & {n for n, _ in t}) for i, t in zip(ids, true, strict=True)) / max(1, sum(map(len, true)))

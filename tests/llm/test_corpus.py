@@ -407,6 +407,43 @@ def test_neighbours(spark):
     assert met >= 0.9 * 20 * len(got)
 
 
+def test_recall_on_queries_that_did_not_calibrate(spark, monkeypatch):
+    monkeypatch.setattr(ann_tree, "CALIBRATION", 40)
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert ann_tree.measured_recall(d, ann_tree.search(d)) >= 0.9
+
+
+def brute_neighbours(rows, k=20, every=20):
+    rows = [(i, v) for i, v in rows if i is not None]
+    out = []
+    for q in sorted({i for i, _ in rows if i % every == 0}):
+        x = np.array(min(v for i, v in rows if i == q))
+        near = sorted((-float((np.array(v) * x).sum()), i) for i, v in rows if i != q)[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(near, 1)]
+    return out
+
+
+def test_copies_repeated_ids_and_small_leaves(spark, monkeypatch):
+    """Half of the rows have one vector, some ids stand on many rows, and leaves hold fewer than k rows."""
+    monkeypatch.setattr(ann_tree, "MOST_LEAF", 16)
+    g = np.random.default_rng(4)
+    vector = lambda: [float(x) for x in g.integers(-3, 4, 6)]
+    same = [1.0, 2.0, 0.0, -1.0, 1.0, 3.0]
+    rows = [(k, same) for k in range(300)] + [(k, vector()) for k in range(300, 600)] + [(40, vector()) for _ in range(60)] + [(20, same)] * 50
+    rows = [(i, v) for i, v in rows if any(v)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # With all leaves asked for the search is exact, ties included.
+    got = sorted(tuple(r) for r in ann_tree.search(d, recall=1.0).collect())
+    want = brute_neighbours(rows)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    per_query = {}
+    for (q, _, i, s), (_, _, j, t) in zip(got, want, strict=True):
+        a, b = per_query.setdefault(q, ([], []))
+        a.append((i, s))
+        b.append((j, t))
+    assert sum(a == b for a, b in per_query.values()) >= 0.95 * len(per_query)
+
+
 def test_neighbours_on_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [nan, 1.0]), (80, [1.0, None]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 5.0]), (None, [9.0, 9.0])]
@@ -423,7 +460,7 @@ def test_equal_vectors_tie_by_id(spark):
 
 
 def test_shards_bound_their_rows():
-    first, salts = ann_tree._shards([10, 25, 3, 3, 90, 1], rows=20)
+    first, salts = ann_tree._shards([10, 25, 3, 3, 90, 1], 20)
     assert salts == [1, 2, 1, 1, 5, 1] and len({*range(first[1], first[1] + 2)} & {first[0], first[2]}) == 0 and first[2] == first[3]
 
 
