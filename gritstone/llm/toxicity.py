@@ -3,12 +3,14 @@
 1. Voters. Lexicon words and word-part patterns are induced from a bounded sample of labelled rows
    (the held-out part excluded), beside a small fixed lexicon and shape patterns. Each votes toxic
    where it fires and abstains elsewhere.
-2. Label model. A generative model with one latent class per document explains the votes: firing
-   rates of each voter per class (its accuracy), the class share, and the marks of the labelled rows
-   as one more noisy voter. Correlated voters, found from the residual covariance given the
-   class, share one vote's weight. It is fitted by expectation maximisation.
+2. Label model. A generative model with one latent class per document explains the votes: the class share,
+   each voter's firing rates by class (its accuracy), and pairwise correlations, as a forest in which a
+   voter's rates also depend on the voter it says most about given the class. The marks of the labelled
+   rows are one more noisy voter whose rates are estimated with the others. It is fitted by
+   expectation maximisation.
 3. Classifier. A linear (logistic) model is trained on the posterior labels and scores every whole
-   text. Only the text is an input of a score.
+   text. Only the text is an input of a score. How strict voters must be, and the penalty on weights, are
+   chosen by cross-validation inside the labelled sample.
 """
 
 from __future__ import annotations
@@ -101,45 +103,77 @@ class Votes:
 
 
 class LabelModel:
-    """Class-conditional firing rates with shared weight for correlated voters, fitted by EM."""
+    """One latent class, and a forest of pairwise dependencies among the voters, fitted by EM.
 
-    def __init__(self, rounds: int = 30, correlated: float = 0.5):
-        self.rounds, self.correlated = rounds, correlated
+    After ``fit``: ``share`` of the class; ``on`` and ``off``, each voter's firing rate in and out of it;
+    ``accuracy``, how often a voter that fires is right; ``parent``, the voter that a voter's rates
+    also depend on (-1: none); ``mark_on`` and ``mark_off``, the rates of the marks.
+    """
+
+    #: Rows of prior belief in marks, and what they say: the estimates need not start from nothing.
+    PRIOR_ROWS, PRIOR_ON, PRIOR_OFF = 20.0, 0.9, 0.02
+
+    def __init__(self, rounds: int = 40, least_information: float = 0.005):
+        self.rounds, self.least_information = rounds, least_information
 
     def fit(self, votes: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """votes: rows x voters, 0/1; marks: 0/1 per row, as noisy as any voter. Returns posteriors."""
-        v = votes.astype(np.float64)
-        n = len(v)
-        post = np.clip(marks.astype(np.float64), 0.02, 0.98)
-        self.weight = np.ones(v.shape[1])
+        """votes: rows x voters, 0/1; marks: 0/1 per row. Returns each row's posterior of the class."""
+        v = np.asarray(votes, np.float64)
+        fired, marks = v > 0, np.asarray(marks, np.float64)
+        self.parent = np.full(v.shape[1], -1)
+        post = np.clip(marks, 0.05, 0.95)
         for step in range(self.rounds):
-            share = np.clip((post.sum() + 1) / (n + 2), 1e-4, 1 - 1e-4)
-            on = (post @ v + 0.5) / (post.sum() + 1)
-            off = ((1 - post) @ v + 0.5) / ((1 - post).sum() + 1)
-            # Marks are held for good ones unless the votes say otherwise on many rows.
-            mark_on = (post @ marks + 0.98 * n) / (post.sum() + n)
-            mark_off = ((1 - post) @ marks + 0.002 * n) / ((1 - post).sum() + n)
-            if step == 2:
-                self._correlate(v, post, on, off)
-            log_on = np.log(on / off) * self.weight
-            log_off = np.log((1 - on) / (1 - off)) * self.weight
-            logit = np.log(share / (1 - share)) + v @ log_on + (1 - v) @ log_off
-            logit += np.where(marks > 0, np.log(mark_on / mark_off), np.log((1 - mark_on) / (1 - mark_off)))
-            new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            if np.abs(new - post).max() < 1e-4 and step > 3:
-                post = new
-                break
+            if step in (3, 8, 13):  # anew as the posterior settles
+                self.parent = self._forest(v, post)
+            likelihood = self._estimate(v, fired, post, marks)
+            new = 1 / (1 + np.exp(-np.clip(likelihood, -30, 30)))
+            moved = np.abs(new - post).max() if len(post) else 0.0
             post = new
-        self.on, self.off, self.share = on, off, share
+            if moved < 1e-4 and step > 13:
+                break
+        self.accuracy = self.share * self.on / (self.share * self.on + (1 - self.share) * self.off)
         return post
 
-    def _correlate(self, v: np.ndarray, post: np.ndarray, on: np.ndarray, off: np.ndarray) -> None:
-        residual = v - (post[:, None] * on + (1 - post)[:, None] * off)
-        scale = np.sqrt((residual**2).sum(0)) + 1e-9
-        self.correlation = (residual.T @ residual) / np.outer(scale, scale)
-        near = self.correlation > self.correlated
-        np.fill_diagonal(near, True)
-        self.weight = 1.0 / near.sum(1)
+    def _estimate(self, v: np.ndarray, fired: np.ndarray, post: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Rates from the posterior, and from these each row's log odds of the class."""
+        n, rates = len(v), []
+        has_parent = self.parent >= 0
+        above = np.where(has_parent, fired[:, self.parent], False)
+        for weight in (post, 1 - post):
+            rate = (weight @ v + 0.5) / (weight.sum() + 1)
+            # With a parent: the rate where it fires and where it does not, drawn to the plain one by two rows.
+            both, alone = weight @ (v * above), weight @ above
+            with_it, without = (both + 2 * rate) / (alone + 2), (weight @ v - both + 2 * rate) / (weight.sum() - alone + 2)
+            rates.append((rate, np.clip(with_it, 1e-6, 1 - 1e-6), np.clip(np.where(has_parent, without, rate), 1e-6, 1 - 1e-6)))
+        (self.on, *on), (self.off, *off) = rates
+        self.share = float(np.clip((post.sum() + 1) / (n + 2), 1e-4, 1 - 1e-4))
+        k = self.PRIOR_ROWS
+        self.mark_on = float((post @ marks + k * self.PRIOR_ON) / (post.sum() + k))
+        self.mark_off = float(((1 - post) @ marks + k * self.PRIOR_OFF) / ((1 - post).sum() + k))
+        logit = np.full(n, np.log(self.share / (1 - self.share)))
+        logit += np.where(marks > 0, np.log(self.mark_on / self.mark_off), np.log((1 - self.mark_on) / (1 - self.mark_off)))
+        p, q = np.where(above, on[0], on[1]), np.where(above, off[0], off[1])
+        return logit + np.where(fired, np.log(p / q), np.log((1 - p) / (1 - q))).sum(axis=1)
+
+    def _forest(self, v: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Each voter's parent in the forest of greatest information between voters given the class."""
+        m, information = v.shape[1], np.zeros((v.shape[1], v.shape[1]))
+        for weight in (post, 1 - post):
+            total = weight.sum() + 1e-9
+            one = weight @ v / total
+            both = (v * weight[:, None]).T @ v / total
+            for x, y, joint in ((one[:, None], one[None, :], both), (one[:, None], 1 - one[None, :], one[:, None] - both), (1 - one[:, None], one[None, :], one[None, :] - both), (1 - one[:, None], 1 - one[None, :], 1 - one[:, None] - one[None, :] + both)):
+                information += total / len(v) * joint.clip(1e-12) * np.log(joint.clip(1e-12) / (x * y).clip(1e-12))
+        np.fill_diagonal(information, 0)
+        parent, best, source, done = np.full(m, -1), np.full(m, -1.0), np.full(m, -1), np.zeros(m, bool)
+        for _ in range(m):
+            now = int(np.argmax(np.where(done, -np.inf, best)))
+            if best[now] >= self.least_information:
+                parent[now] = source[now]
+            done[now] = True
+            nearer = ~done & (information[now] > best)
+            best[nearer], source[nearer] = information[now][nearer], now
+        return parent
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
@@ -159,6 +193,40 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int =
     return w
 
 
+def _log_loss(marks: np.ndarray, z: np.ndarray, model: LabelModel) -> float:
+    """Of marks, which are as noisy as the label model says, under the classes' log odds ``z``."""
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    q = np.clip(p * model.mark_on + (1 - p) * model.mark_off, 1e-6, 1 - 1e-6)
+    return float(-np.mean(marks * np.log(q) + (1 - marks) * np.log(1 - q)))
+
+
+#: What cross-validation chooses from: toxic to clean rows where a voter fires, and the penalty on weights.
+STRICTNESS, RIDGES, FOLDS = (1.0, 2.0, 4.0), (1e-3, 1e-2), 3
+
+
+def _features(votes: np.ndarray) -> np.ndarray:
+    """What the linear model sees: each vote, and the logarithm of their number."""
+    return np.c_[votes, np.log1p(votes.sum(axis=1, dtype=np.float64))]
+
+
+def choose(matrix: np.ndarray, marks: np.ndarray, columns: dict[float, list[int]]) -> tuple[float, float]:
+    """(strictness, ridge) with the smallest log loss on the folds left out; ``columns`` gives each strictness's voters."""
+    fold = np.arange(len(marks)) % FOLDS
+    loss: dict[tuple[float, float], float] = {}
+    for strict, at in columns.items():
+        x = _features(matrix[:, at])
+        total = dict.fromkeys(RIDGES, 0.0)
+        for k in range(FOLDS):
+            learn = fold != k
+            model = LabelModel(rounds=16)
+            posterior = model.fit(matrix[learn][:, at], marks[learn])
+            for ridge in RIDGES:
+                w = fit_linear(x[learn], posterior, ridge, rounds=12)
+                total[ridge] += _log_loss(marks[~learn], np.c_[x[~learn], np.ones((~learn).sum())] @ w, model)
+        loss.update({(strict, ridge): total[ridge] for ridge in RIDGES})
+    return min(loss, key=lambda c: (loss[c], -c[0], -c[1]))
+
+
 class ToxicityModel:
     """A fitted classifier: voters and weights. Small, and independent of the corpus size."""
 
@@ -169,8 +237,8 @@ class ToxicityModel:
         votes, w = Votes(self.names), self.weights
 
         def score(text: str | None) -> float:
-            fired, hits = votes.of(text)
-            z = w[-1] + w[len(self.names)] * np.log1p(hits) + sum(w[k] for k in fired)
+            fired, _ = votes.of(text)
+            z = w[-1] + w[len(self.names)] * np.log1p(len(fired)) + sum(w[k] for k in fired)
             return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
         return score
@@ -195,18 +263,18 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     known: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = np.zeros(_BUCKETS, bool)
+            seen = [np.zeros(0, np.int32)]
             for word in _distinct_words(text):
                 if len(word) > _LONG:
-                    seen[np.fromiter((zlib.crc32(g.encode()) % _BUCKETS for g in _each_gram(word)), np.int32)] = True
+                    seen.append(np.unique(np.fromiter((zlib.crc32(g.encode()) % _BUCKETS for g in _each_gram(word)), np.int32)))
                     continue
                 at = known.get(word)
                 if at is None:
                     if len(known) >= _CACHE // 3:
                         known.clear()
                     at = known[word] = np.array([zlib.crc32(g.encode()) % _BUCKETS for g in grams(word)], np.int32)
-                seen[at] = True
-            counts[int(toxic)] += seen
+                seen.append(at)
+            counts[int(toxic), np.unique(np.concatenate(seen))] += 1
     at = np.flatnonzero(counts[1])
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1][at]), pa.array(counts[0][at])], names=["bucket", "pos", "neg"])
 
@@ -270,34 +338,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voter
     best = counted.where(F.col("pos") >= least).orderBy(_worth(n_pos, n_neg).desc(), "bucket").limit(voters * 16)
     buckets = frozenset(r["bucket"] for r in best.select("bucket").collect())
     exact = mapped(texts, _count_grams(buckets), "gram string, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # A voter must be right three times in four where it fires; by chance it would be in a tenth or so.
-    exact = exact.where((F.col("pos") >= least) & (F.col("pos") >= 3 * F.col("neg")))
-    ranked = exact.orderBy(_worth(n_pos, n_neg).desc(), F.length("gram").desc(), "gram").limit(voters * 32)
-    induced = _distinct_voters([(r["gram"], r["pos"]) for r in ranked.collect()], voters)
-    names = list(dict.fromkeys(induced + fixed))
+    exact = exact.where((F.col("pos") >= least) & (F.col("pos") >= min(STRICTNESS) * F.col("neg")))
+    ranked = [(r["gram"], r["pos"], r["neg"]) for r in exact.orderBy(_worth(n_pos, n_neg).desc(), F.length("gram").desc(), "gram").limit(voters * 32).collect()]
+    induced = {strict: _distinct_voters([(g, p) for g, p, n in ranked if p >= strict * n], voters) for strict in STRICTNESS}
+    names = list(dict.fromkeys([*(g for some in induced.values() for g in some), *fixed]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         votes = Votes(names)
         for batch in batches:
-            fired = [votes.of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(x) for x, _ in fired], pa.list_(pa.int32())), pa.array([h for _, h in fired], pa.int32()), batch.column(1)], names=["fired", "hits", "toxic"])
+            fired = [votes.of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) for x, _ in fired], pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "fired", "toxic"])
 
-    # At most `sample` rows of voter numbers.
-    data = mapped(texts, features, "fired array<int>, hits int, toxic int").collect()
+    # At most `sample` rows of voter numbers, in the order of their ids' hashes: folds do not hang on how rows were dealt.
+    data = mapped(rows.select("doc_id", "text", "toxic"), features, "doc_id bigint, fired array<int>, toxic int").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     matrix = np.zeros((len(data), len(names)), np.float32)
     for k, r in enumerate(data):
         matrix[k, r["fired"]] = 1
-    marks = np.array([r["toxic"] for r in data])
-    posterior = LabelModel().fit(matrix, marks)
-    hits = np.log1p(np.array([r["hits"] for r in data], np.float64))
-    return ToxicityModel(names, fit_linear(np.c_[matrix, hits], posterior))
+    marks = np.array([r["toxic"] for r in data], np.float64)
+    at = {n: k for k, n in enumerate(names)}
+    columns = {strict: [at[n] for n in dict.fromkeys(some + fixed)] for strict, some in induced.items()}
+    strict, ridge = choose(matrix, marks, columns)
+    chosen = columns[strict]
+    posterior = LabelModel().fit(matrix[:, chosen], marks)
+    return ToxicityModel([names[k] for k in chosen], fit_linear(_features(matrix[:, chosen]), posterior, ridge))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
     held_out marks rows with crc32(doc_id as text) mod 4 = 2 (false for a null id). Null and empty
-    texts score what a text without any vote does. Repeated rows stay; only doc_id and text are read.
+    texts score what a text without any vote does. Whole texts are scored, words of any length too. Repeated rows
+    stay; an empty table gives no rows; without labels of both classes a fixed lexicon decides. Only doc_id
+    and text are read, whatever other columns are called.
     """
     model = fit_toxicity(docs, labels, sample)
     source = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
@@ -313,7 +385,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score at least the threshold; columns unchanged."""
+    """docs without the rows that score at least the threshold; columns unchanged, whatever their names. Null and
+    empty texts are scored as score_toxicity does, repeated rows alike; an empty table stays empty."""
     model = fit_toxicity(docs, labels, sample)
     at = docs.columns.index("text")
 
@@ -322,4 +395,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thresho
         for batch in batches:
             yield batch.filter(pa.array([score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return mapped(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return mapped(docs, run, docs.schema)
