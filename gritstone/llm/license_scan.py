@@ -28,16 +28,56 @@ BASE = {
     "mit license": "mit",
 }
 
-#: The scan's own templates: wording around the names above, and their more exact labels.
+#: The wording of public licenses and notices, with what may vary marked up. A template's label is given
+#: where all of its mandatory words stand; changed, missing or added words elsewhere reject it.
 TEMPLATES = {
+    # Notices that name a license.
     "gpl-3.0": "licensed under [[the terms of]] the [[gnu]] general public license [[as published by the free software foundation]] [[either]] version 3",
     "gpl-2.0": "licensed under [[the terms of]] the [[gnu]] general public license [[as published by the free software foundation]] [[either]] version 2",
     "apache-2.0": "licensed under the apache license [[software foundation]] version 2 [[0]]",
-    "mit-grant": "released under the [[terms of the]] mit license",
+    "mit-named": "released under the [[terms of the]] mit license",
     "cc-by-nc-4.0": "licensed under [[a]] cc by nc 4 0",
     "cc-by-4.0": "licensed under [[a]] creative commons attribution [[{{0,2}} ]] 4 0 [[international]] license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that",
     "all-rights-reserved": "copyright [[c]] {{1,6}} all rights reserved",
+    # Whole grants and notices.
+    "mit": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+        copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+        [[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+        fitness for a particular purpose and noninfringement in no event shall the {{1,12}} be liable for any claim damages or other liability
+        whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]]""",
+    "isc": """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that
+        the above copyright notice and this permission notice appear in all copies
+        [[the software is provided as is and {{1,8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness]]""",
+    "bsd-2-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+        in the documentation and or other materials provided with the distribution""",
+    "bsd-3-clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+        in the documentation and or other materials provided with the distribution
+        [[3]] neither the name of {{1,12}} nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission""",
+    "apache-2.0-notice": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at http [[s]] www apache org licenses license 2 0
+        [[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license]]""",
+    "gpl-3.0-notice": """is free software you can redistribute it and or modify it under the terms of the gnu general public license
+        as published by the free software foundation either version 3 of the license or [[at your option]] any later version""",
+    "gpl-2.0-notice": """is free software you can redistribute it and or modify it under the terms of the gnu general public license
+        as published by the free software foundation either version 2 of the license or [[at your option]] any later version""",
+    "lgpl-notice": """is free software you can redistribute it and or modify it under the terms of the gnu [[library]] [[lesser]] general public license
+        as published by the free software foundation either version {{1,2}} of the license or [[at your option]] any later version""",
+    "agpl-3.0-notice": """is free software you can redistribute it and or modify it under the terms of the gnu affero general public license
+        as published by the free software foundation either version 3 of the license or [[at your option]] any later version""",
+    "mpl-2.0-notice": """this source code form is subject to the terms of the mozilla public license v 2 0
+        if a copy of the mpl was not distributed with this file you can obtain one at http [[s]] mozilla org mpl 2 0""",
+    "unlicense": """this is free and unencumbered software released into the public domain
+        anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+        for any purpose commercial or non commercial and by any means""",
 }
 
 
@@ -128,7 +168,8 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, templates
     automata. n_base counts every place of every base phrase, first_word and last_word are their smallest and
     largest start (null for none). score is 0 for no license wording, 0.5 for base phrases only, and
     more the larger the share of base places that lie in a template's span; a template without a base
-    place scores 1. Null and empty texts have no words. Repeated rows stay; other columns are not read.
+    place scores 1. Null and empty texts have no words. Whole texts are scanned, however long. Repeated rows stay,
+    an empty table gives no rows; other columns, whatever their names, are not read.
     """
     base = BASE if base is None else base
     templates = TEMPLATES if templates is None else templates
