@@ -112,11 +112,12 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
 
 
-def _best(rows: np.ndarray, scores: np.ndarray, ids: list[np.ndarray], query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(rows: np.ndarray, scores: np.ndarray, ids: list[np.ndarray], query: np.ndarray, k: int, unique: bool) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the rows of the classes ``rows`` that can be among the k nearest whatever one id is
-    left out: by score and id, k rows of an id and 2 k in all. The scores given only propose classes:
-    the measure is summed anew, in one order for all, so that it depends on the vectors alone."""
-    most = 2 * k
+    left out: by score and id k + 1 rows where ids are unique, else k rows of an id and 2 k in all. The scores
+    given only propose classes: the measure is summed anew, in one order for all, so that it depends on
+    the vectors alone."""
+    most = k + 1 if unique else 2 * k
     if len(scores) > most:
         edge = np.partition(scores, len(scores) - most)[len(scores) - most]
         there = np.flatnonzero(scores >= edge - 1e-9 * (1 + abs(edge)))
@@ -128,7 +129,7 @@ def _best(rows: np.ndarray, scores: np.ndarray, ids: list[np.ndarray], query: np
     measure = np.repeat(exact, [len(x) for x in held])
     order = np.lexsort((every, -measure))
     every, measure = every[order], measure[order]
-    if len(np.unique(every)) < len(every):  # repeated ids: rank within each
+    if not unique and len(np.unique(every)) < len(every):  # rank within each id
         by_id = np.argsort(every, kind="stable")
         first = np.r_[True, every[by_id][1:] != every[by_id][:-1]]
         rank = np.empty(len(every), np.int64)
@@ -151,15 +152,17 @@ def _vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
     """(v, ids): equal vectors with the ids that can be among the k nearest of any query, whichever id that has:
-    k rows of an id and the smallest 2 k in all. The ranks are limited before the shuffle too, so a
-    vector that a third of the rows share does not gather in one task."""
+    k rows of an id and the smallest 2 k in all. Only rows whose vector's hash another row has are shuffled; their
+    ranks are limited before that too, so a vector that a third of the rows share does not gather in one task."""
     hashed = rows.withColumn("h", F.xxhash64("v"))
-    same = hashed.withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "vec_id").orderBy("vec_id"))).where(F.col("r") <= k)
+    twice = written(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    alone = hashed.join(twice, "h", "left_anti").select("v", F.array("vec_id").alias("ids"))
+    same = hashed.join(twice, "h", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("h", "v", "vec_id").orderBy("vec_id"))).where(F.col("r") <= k)
     small = same.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("r") <= 2 * k)
-    return small.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids")
+    return alone.unionByName(small.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("v", "ids"))
 
 
-def _unit_search(size: int, k: int):
+def _unit_search(size: int, k: int, unique: bool):
     """Rows (unit, side, v, ids, leaf, rep, open) sorted by unit and side, whole units in a partition: side 0 the
     unit's classes, side 1 the queries with those of its leaves that they open. Gives (rep, ids,
     scores) for each query of each unit. Only one unit's classes are held."""
@@ -186,7 +189,7 @@ def _unit_search(size: int, k: int):
                 if there:
                     near = np.concatenate([rows[a:b] for a, b in there]) if len(there) > 1 else rows[there[0][0] : there[0][1]]
                     lists = [x for a, b in there for x in ids[a:b]]
-                    out.append((rep, *_best(near, near @ query, lists, query, k)))
+                    out.append((rep, *_best(near, near @ query, lists, query, k, unique)))
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], names=["rep", "ids", "scores"]
             )
@@ -232,6 +235,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=["v", "ids", "leaf"])
 
     placed = written(mapped(_classes(rows, k), leaves, "v array<double>, ids array<bigint>, leaf int"))
+    unique = rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     asked = written(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("h", F.xxhash64("v")))
     # Queries with equal vectors are asked once, under the smallest of their ids.
     groups = written(asked.groupBy("h", "v").agg(F.min("vec_id").alias("rep")))
@@ -267,7 +271,7 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     sent = sent.select("rep", "v", F.explode(F.arrays_zip("units", "opened")).alias("x"))
     right = sent.select(F.col("x.units").alias("unit"), F.lit(1).alias("side"), "v", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(None).cast("int").alias("leaf"), "rep", F.col("x.opened").alias("open"))
     units = left.unionByName(right).repartition(width, "unit").sortWithinPartitions("unit", "side")
-    found = mapped(units, _unit_search(size, k), "rep bigint, ids array<bigint>, scores array<double>")
+    found = mapped(units, _unit_search(size, k, unique), "rep bigint, ids array<bigint>, scores array<double>")
     return _nearest_of(found, asked, groups, k)
 
 
