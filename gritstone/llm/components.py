@@ -1,63 +1,5 @@
-"""Connected components by alternating large-star and small-star contraction.
+"""Connected components, as the rest of the library has them."""
 
-Both steps are aggregations and equi-joins on node ids, so links and labels stay distributed; the
-driver only sees a row count and a checksum per round (Kiveris et al., 2014).
-"""
+from ..operators.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def _with_minimum(pairs: DataFrame) -> DataFrame:
-    """Add to (u, v) the smallest neighbour of u. The minima are written first: the join then stands on plain
-    exchanges (or broadcasts a table whose size is known), so AQE can split the pairs of a hub."""
-    low = written(pairs.groupBy("u").agg(F.min("v").alias("m")))
-    return pairs.join(low, "u")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    m = F.least("m", "u")
-    linked = _with_minimum(both).where(F.col("v") > F.col("u"))
-    return linked.select(m.alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    linked = _with_minimum(down)
-    near = linked.select(F.col("m").alias("a"), F.col("v").alias("b"))
-    own = linked.select(F.col("m").alias("a"), F.col("u").alias("b"))
-    return near.unionByName(own).where("a <> b").distinct()
-
-
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0)).alias("s"),
-    ).first()
-    return row["n"], row["s"]
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Edges (a, b) with a < b, both bigint. Returns (node, component), component the smallest node
-    reachable; only nodes that have an edge appear. An empty table gives an empty one."""
-    edges = written(edges.select("a", "b").where("a < b").distinct())
-    before = _state(edges)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
-        edges = written(_small_star(_large_star(edges)))
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)
+__all__ = ["connected_components"]

@@ -27,7 +27,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]{0,8}[=:][ \t]{0,8}[\"']?([A-Za-z0-9/+_.-]{16,}+)")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:token|secret|password|passwd|api[_-]?key)[ \t]*+[=:][ \t]*+[\"']?([A-Za-z0-9/+_.-]{16,}+)")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -154,7 +154,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code
     points, end exclusive), found (the spans with their scores).
 
-    Null texts are empty: no spans and the hash of nothing. Repeated rows stay; other columns are not read.
+    Null texts are empty: no spans and the hash of nothing. Whole texts are searched, however long, in time linear
+    in them. Repeated rows stay; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     source = docs.select(column_or_null(docs, id_col, "bigint").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
 
@@ -183,9 +184,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with all found spans replaced by ``<KIND>`` and the length column, where there is one,
-    set anew for the rows that changed. Null texts stay null; all other columns pass through unread."""
+    set anew from it. Null texts stay null; all other columns, whatever their names, pass through unread; an
+    empty table stays empty."""
     at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +195,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_cha
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    out = mapped(docs, run, fields)
+    out = mapped(docs, run, docs.schema)
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))

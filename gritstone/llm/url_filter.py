@@ -140,11 +140,12 @@ def filter_urls(
     path from there to ``?``, ``#`` or the end. Null urls and urls without ``://`` have both empty,
     fit no host rule, and get the default verdict. Of the host rules that fit, the longest decides
     (of equal length, the one listed first); else ``rule`` is null and the filter's own globs
-    decide, then the default. Repeated rows stay; other columns are not read.
+    decide, then the default. URLs may be of any length; a batch's state grows with its number of URLs,
+    not with their length. Repeated rows stay, an empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
-    url = F.coalesce(column_or_null(pages, url_col, "string"), F.lit(""))
-    after = F.when(F.instr(url, "://") > 0, F.substring_index(F.expr("substring(url, instr(url, '://') + 3)"), "#", 1)).otherwise("")
-    source = pages.select(column_or_null(pages, id_col, "bigint").alias("page_id"), url.alias("url"))
+    source = pages.select(column_or_null(pages, id_col, "bigint").alias("page_id"), F.coalesce(column_or_null(pages, url_col, "string"), F.lit("")).alias("url"))
+    after = F.when(F.instr("url", "://") > 0, F.substring_index(F.expr("substring(url, instr(url, '://') + 3)"), "#", 1)).otherwise("")
     source = source.withColumn("rest", F.substring_index(after, "?", 1))
     host = F.translate(F.substring_index("rest", "/", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     source = source.select("page_id", host.alias("host"), F.expr("substring(rest, length(substring_index(rest, '/', 1)) + 1)").alias("path"))
