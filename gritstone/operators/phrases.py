@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.text import let
-from ..session import durable
+from ..session import durable, ship
 
 
 def safe_threshold(value: float, scoring: str = "npmi", fallback: float = 0.3) -> float:
@@ -46,41 +49,97 @@ def scored_pairs(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, t
     return out.select(*keys, "a", "b", "n", score.alias("score")).where(F.col("score") > threshold)
 
 
-def merge_expression(tokens: Column, accepted: Column) -> Column:
-    """Greedy from left to right: a token joins the one before it by ``_`` when the pair is in the map
-    ``accepted`` ("a b" to true) and the one before is not itself a joined pair."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+def merged_tokens(tokens: list[str], accepted) -> list[str]:
+    """Greedy from left to right: a token joins the one before it by ``_`` when ``accepted`` says so of the two
+    and the one before is not itself a joined pair."""
+    out: list[str] = []
+    last = None
+    for t in tokens:
+        if last is not None and accepted(last, t):
+            out[-1], last = f"{last}_{t}", None
+        else:
+            out.append(t)
+            last = t
+    return out
+
+
+#: Pairs of a model up to which it travels to the workers whole; a larger one is met by a join.
+SMALL_MODEL = 200_000
+
 
-    def step(acc: Column, t: Column) -> Column:
-        joined = acc["last"].isNotNull() & F.coalesce(F.element_at(accepted, F.concat_ws(" ", acc["last"], t)), F.lit(False))
-        merged = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(acc["last"], F.lit("_"), t)))
-        return F.struct(F.when(joined, merged).otherwise(F.concat(acc["out"], F.array(t))).alias("out"), F.when(~joined, t).alias("last"))
+def _own_pairs(t: Column) -> Column:
+    return F.array_distinct(F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))))
 
-    return F.aggregate(tokens, state, step, lambda acc: acc["out"])
 
+def _merging(at: int, key_at: list[int], model: frozenset | None, out: str):
+    """Batches with the merged tokens added. Without a model the last column lists each row's accepted pairs and goes."""
 
-def merge_phrases(docs: DataFrame, pairs: DataFrame, tokens: str = "tokens", out: str = "tokens_bi", keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
-    """docs with the accepted pairs merged. The phrase model is a table of any size: each document's own
-    pairs meet it in an equi-join and come back as that document's short list. ``id_col`` names a unique
-    column; without one the documents are numbered and kept in the shared folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged, keys = [], list(zip(*(batch.column(k).to_pylist() for k in key_at), strict=True)) if key_at else [()] * batch.num_rows
+            own = None if model is not None else batch.column(batch.num_columns - 1).to_pylist()
+            for k, tokens in enumerate(batch.column(at).to_pylist()):
+                if tokens is None:
+                    merged.append(None)
+                elif own is None:
+                    merged.append(merged_tokens(tokens, lambda a, b, x=keys[k]: (*x, a, b) in model))
+                else:
+                    known = set(own[k] or ())
+                    merged.append(merged_tokens(tokens, lambda a, b, known=known: f"{a} {b}" in known))
+            kept = batch.columns if own is None else batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(merged, pa.list_(pa.string()))], names=[*batch.schema.names[: len(kept)], out])
+
+    return run
+
+
+def merge_phrases(docs: DataFrame, pairs: DataFrame, tokens: str = "tokens", out: str = "tokens_bi", keys: tuple[str, ...] = (), id_col: str | None = None, small: int = SMALL_MODEL) -> DataFrame:
+    """docs with the accepted pairs merged. A phrase model of up to ``small`` pairs, counted first, goes to the
+    workers and moves no document. Beyond that it is a table: each document's own pairs meet it in an
+    equi-join and come back as that document's short list. ``id_col`` names a unique column; without
+    one the documents are numbered and kept in the shared folder."""
     keys = tuple(keys)
+    ship(docs.sparkSession)
+    pairs = durable(pairs.select(*keys, "a", "b"))
+    docs = docs.select(*[c for c in docs.columns if c != out])
+    at, key_at = docs.columns.index(tokens), [docs.columns.index(k) for k in keys]
+    added = StructType([*docs.schema.fields, StructField(out, ArrayType(StringType()))])
+    if pairs.count() <= small:
+        model = frozenset(tuple(r) for r in pairs.collect())
+        return docs.mapInArrow(_merging(at, key_at, model, out), added)
     accepted = pairs.select(*keys, F.concat_ws(" ", "a", "b").alias("p"))
-    t = F.col(tokens)
-    own = F.array_distinct(F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))))
     marked = docs if id_col else durable(docs.withColumn("_id", F.monotonically_increasing_id()))
     key = id_col or "_id"
-    hits = marked.select(key, *[k for k in keys if k != key], F.explode(own).alias("p")).join(accepted, [*keys, "p"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("p", F.lit(True)))).alias("_m"))
-    empty = F.create_map().cast("map<string,boolean>")
-    merged = marked.join(hits, key, "left").withColumn(out, let(F.coalesce("_m", empty), lambda m: merge_expression(F.col(tokens), m)))
-    return merged.select(*[c for c in docs.columns if c != out], out)
+    hits = marked.select(key, *[k for k in keys if k != key], F.explode(_own_pairs(F.col(tokens))).alias("p")).join(accepted, [*keys, "p"]).groupBy(key).agg(F.collect_list("p").alias("_m"))
+    met = marked.join(hits, key, "left").select(*docs.columns, "_m")
+    return met.mapInArrow(_merging(at, key_at, None, out), added)
+
+
+def save_model(bigrams: DataFrame, trigrams: DataFrame, path: str) -> None:
+    """A phrase model as a table: (step, keys, a, b, n, score), step 2 for pairs of tokens and 3 for pairs after merging."""
+    bigrams.withColumn("step", F.lit(2)).unionByName(trigrams.withColumn("step", F.lit(3))).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    model = spark.read.parquet(path)
+    return model.where("step = 2").drop("step"), model.where("step = 3").drop("step")
+
+
+def apply_model(docs: DataFrame, bigrams: DataFrame, trigrams: DataFrame, tokens: str = "tokens", keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
+    """tokens_bi and tokens_tri by a model made elsewhere, or earlier."""
+    once = merge_phrases(docs, bigrams, tokens, "tokens_bi", keys, id_col)
+    return merge_phrases(once, trigrams, "tokens_bi", "tokens_tri", keys, id_col)
+
+
+def fit_model(docs: DataFrame, tokens: str = "tokens", bigram: tuple[int, float] = (10, 0.3), trigram: tuple[int, float] = (5, 0.2), scoring: str = "npmi", keys: tuple[str, ...] = (), id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs of tokens that score high enough, and those among documents merged by them."""
+    bi = durable(scored_pairs(docs, tokens, bigram[0], safe_threshold(bigram[1], scoring), scoring, keys))
+    once = durable(merge_phrases(docs, bi, tokens, "tokens_bi", keys, id_col))
+    return bi, durable(scored_pairs(once, "tokens_bi", trigram[0], safe_threshold(trigram[1], scoring, 0.2), scoring, keys))
 
 
 def mine_phrases(docs: DataFrame, tokens: str = "tokens", bigram: tuple[int, float] = (10, 0.3), trigram: tuple[int, float] = (5, 0.2), scoring: str = "npmi", keys: tuple[str, ...] = (), id_col: str | None = None) -> DataFrame:
     """Two passes: tokens_bi, then tokens_tri on the merged documents."""
-    bi = scored_pairs(docs, tokens, bigram[0], safe_threshold(bigram[1], scoring), scoring, keys)
-    once = merge_phrases(docs, bi, tokens, "tokens_bi", keys, id_col)
-    tri = scored_pairs(once, "tokens_bi", trigram[0], safe_threshold(trigram[1], scoring, 0.2), scoring, keys)
-    return merge_phrases(once, tri, "tokens_bi", "tokens_tri", keys, id_col)
+    return apply_model(docs, *fit_model(docs, tokens, bigram, trigram, scoring, keys, id_col), tokens, keys, id_col)
 
 
 def phrase_frequencies(docs: DataFrame, tokens: str = "tokens", keys: tuple[str, ...] = ()) -> DataFrame:

@@ -65,10 +65,19 @@ def without_number_marks(tokens_str: Column) -> Column:
     return F.filter(F.split(tokens_str, r"\s+"), lambda t: (t != "") & ~F.lower(t).isin("<num>", "num"))
 
 
+#: An entry of a list literal, in either kind of quotes, with escapes.
+_ENTRY = r"""'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+
+
 def coerced(c: Column) -> Column:
-    """Tokens from a list literal (``['a', 'b']``) or from words with spaces between; blanks dropped."""
-    listed = F.from_json(F.translate(c, "'", '"'), "array<string>")
-    tokens = F.when(strip(c).startswith("["), F.coalesce(listed, F.split(c, r"\s+"))).otherwise(F.split(c, r"\s+"))
+    """Tokens from a list literal (``['a', "it's"]``, escapes allowed) or from words with spaces between;
+    blanks dropped."""
+    entries = F.regexp_extract_all(c, F.lit(_ENTRY), F.lit(0))
+    plain = F.transform(entries, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    # A literal has nothing but commas and blanks between its entries.
+    literal = F.regexp_replace(c, _ENTRY, "").rlike(r"^\s*\[[\s,]*\]\s*$")
+    listed = F.coalesce(F.from_json(c, "array<string>"), F.split(c, r"\s+"))
+    tokens = F.when(literal, plain).when(strip(c).startswith("["), listed).otherwise(F.split(c, r"\s+"))
     return F.filter(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), strip), lambda t: t != "")
 
 
@@ -87,23 +96,29 @@ def without_unigrams(tokens: Column, words) -> Column:
     return F.filter(tokens, lambda t: t.contains("_") | ~in_list(F.lower(t), words))
 
 
+def with_places(df: DataFrame, order: str, out: str) -> DataFrame:
+    """df with each row's place (from 0) by ``order``. Dense places come from counts per range of the order: each range
+    is numbered by itself, and only the ranges' sizes are added up in one place."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = durable(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    numbered = ranged.withColumn("_all", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"))
+    return numbered.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_n0") + F.col("_all") - 1).drop("_part", "_all", "_n0")
+
+
 def nonempty_view(df: DataFrame, tokens: str = "tokens", order: str = "row_id") -> DataFrame:
     """Documents that have tokens, with orig_row (0-based place among all) and lda_doc_id (0-based place among
-    those kept).
-
-    Dense places come from counts per range of the order: each range is numbered by itself, and only
-    the ranges' sizes are added up in one place."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.withColumn("token_len", F.size(tokens)).repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id())
-    ranged = durable(ranged)
-    within = Window.partitionBy("_part").orderBy(order)
-    numbered = ranged.withColumn("_all", F.row_number().over(within)).withColumn("_kept", F.sum((F.col("token_len") > 0).cast("bigint")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.count_if(F.col("token_len") > 0).alias("k"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_k0"))
-    out = numbered.join(F.broadcast(offsets), "_part").where("token_len > 0")
-    return out.withColumn("orig_row", F.col("_n0") + F.col("_all") - 1).withColumn("lda_doc_id", F.col("_k0") + F.col("_kept") - 1).drop("_part", "_all", "_kept", "_n0", "_k0")
+    those kept)."""
+    placed = with_places(df.withColumn("token_len", F.size(tokens)), order, "orig_row").where("token_len > 0")
+    return with_places(placed, "orig_row", "lda_doc_id")
+
+
+def full_stopwords(spark) -> set[str]:
+    """The list above with the English list that Spark's own stop word remover brings."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return set(STOPWORDS) | {w.lower() for w in StopWordsRemover.loadDefaultStopWords("english")}
 
 
 def label_terms(terms: DataFrame, topic: str = "topic_id", order: str = "rank", term: str = "term", stops=LABEL_STOPS, head: int = 50, top: int = 10) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import argmax
+from ..session import durable, ship
 from .tokens import LABEL_STOPS, label_terms
 
 
@@ -29,7 +34,9 @@ def fit_lda(docs: DataFrame, k: int, iterations: int = 50, seed: int = 42, token
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import IDF, CountVectorizer
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=float(min_docs), maxDF=max_share, vocabSize=vocab_size).fit(docs)
+    # From 1 on the vectorizer would take the limit for a number of documents.
+    most = max_share if max_share < 1 else float(2**53)
+    cv = CountVectorizer(inputCol=tokens, outputCol="_tf", minDF=float(min_docs), maxDF=most, vocabSize=vocab_size).fit(docs)
     counted = cv.transform(docs)
     weighted = IDF(inputCol="_tf", outputCol="features").fit(counted).transform(counted)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", featuresCol="features").fit(weighted)
@@ -104,27 +111,114 @@ def top_bottom_samples(thetas: DataFrame, id_col: str, top: int = 50, bottom: in
     return named(best, "top").unionByName(named(worst, "bottom"))
 
 
+def top_documents(thetas: DataFrame, id_col: str, n: int = 2000) -> DataFrame:
+    """(topic_id, rank, id, prob): the ``n`` documents with the largest share of each topic."""
+    long = thetas.select(id_col, F.posexplode("theta").alias("topic_id", "prob"))
+    rank = F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc("prob"), id_col))
+    return long.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("topic_id").cast("bigint").alias("topic_id"), F.col("rank").cast("bigint").alias("rank"), id_col, "prob")
+
+
+def smart_merge(doc_topics: DataFrame, original: DataFrame, keys: tuple[tuple[str, ...], ...] = (("doc_id", "sent_id"), ("orig_row",)), order: str | None = None) -> DataFrame:
+    """Each document with its original row: joined on the first set of keys that both tables have. Of original
+    rows with equal keys the first by ``order`` counts. Rows have no places in a distributed table, so
+    without common keys this is an error."""
+    key = next((list(k) for k in keys if set(k) <= set(doc_topics.columns) & set(original.columns)), None)
+    if key is None:
+        raise ValueError(f"none of {keys} in both tables")
+    rest = [c for c in original.columns if c not in key and c not in doc_topics.columns]
+    by = F.col(order) if order else F.struct(*rest)
+    first = original.groupBy(*key).agg(F.min(F.struct(by.alias("o"), F.struct(*rest).alias("v")))["v"].alias("_v"))
+    return doc_topics.join(first, key, "left").select(*doc_topics.columns, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def aligned_texts(docs: DataFrame, original: DataFrame, row: str, orig_row: str, text: str, order: str | None = None) -> DataFrame:
+    """docs with the text of the original row that each names."""
+    first = original.groupBy(F.col(orig_row).alias("_row")).agg(F.min_by(text, order or text).alias("text"))
+    return docs.join(first, F.col(row) == F.col("_row"), "left").drop("_row")
+
+
+def lda_grid(docs: DataFrame, ks: tuple[int, ...], id_col: str, iterations: int = 50, top: int = 15, **options) -> DataFrame:
+    """(K, perplexity, coherence_c_v) of a model for each K; c_v is the mean over its topics."""
+    rows = []
+    for k in ks:
+        model, vocab, weighted = fit_lda(docs, k, iterations=iterations, **options)
+        words = top_words(model, vocab, top).select("topic_id", "word")
+        c = coherence_cv(docs, words, id_col).agg(F.avg("c_v").alias("c")).first()["c"]
+        rows.append((k, perplexity(model, weighted), float(c) if c is not None else None))
+    return docs.sparkSession.createDataFrame(rows, "K int, perplexity double, coherence_c_v double")
+
+
+def _covered(places: list[int], window: int, last: int) -> list[tuple[int, int]]:
+    """Disjoint intervals (first, last) of the starts of windows that hold any of the places."""
+    out: list[tuple[int, int]] = []
+    for p in places:
+        low, high = max(p - window + 1, 0), min(p, last)
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        elif low <= high:
+            out.append((low, high))
+    return out
+
+
+def _common(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> int:
+    """How many starts two lists of intervals have in common."""
+    i = j = n = 0
+    while i < len(x) and j < len(y):
+        n += max(0, min(x[i][1], y[j][1]) - max(x[i][0], y[j][0]) + 1)
+        if x[i][1] < y[j][1]:
+            i += 1
+        else:
+            j += 1
+    return n
+
+
+def _window_counts(together: dict[str, set[str]], window: int):
+    """Documents' tokens to (a, b, n): windows that hold both words, for words that stand in one topic; a = b counts one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for tokens in batch.column(0).to_pylist():
+                places: dict[str, list[int]] = {}
+                for k, word in enumerate(tokens or ()):
+                    if word in together:
+                        places.setdefault(word, []).append(k)
+                if places:
+                    last = max(len(tokens) - window, 0)
+                    found = {w: _covered(p, window, last) for w, p in places.items()}
+                    for a, x in found.items():
+                        for b in together[a]:
+                            if b in found:
+                                counts[a, b] += _common(x, found[b])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["a", "b", "n"])
+
+    return run
+
+
 def coherence_cv(docs: DataFrame, topics: DataFrame, id_col: str, tokens: str = "tokens", window: int = 110, eps: float = 1e-12) -> DataFrame:
     """(topic_id, c_v) of topics given as (topic_id, word): the mean cosine of each word's vector of normalised
     pointwise mutual information with the sum of all words' vectors (Roeder et al., 2015).
 
-    Counts come from boolean sliding windows, restricted to the topics' words before anything is paired: what
-    is shuffled is bounded by words per topic, not by the vocabulary."""
-    wanted = topics.select(F.col("word").alias("w")).distinct()
+    Counts come from boolean sliding windows. In each document the windows that hold a word are intervals of window
+    starts; lengths of these and of their intersections are added up where the document is, for the
+    words of one topic only, so what is shuffled are the counts of a task."""
+    ship(docs.sparkSession)
+    t = topics.select("topic_id", "word").distinct()
+    # A few words for each topic; ids are those of the topics themselves.
+    listed = [(r["topic_id"], r["word"]) for r in t.collect()]
     last = F.greatest(F.size(tokens) - window, F.lit(0))
     n_windows = docs.where(F.size(tokens) > 0).agg(F.sum(last + 1).alias("N"))
-    # Each place of a topic word covers the window starts from pos - window + 1 to pos.
-    spots = docs.select(id_col, last.alias("last"), F.posexplode(tokens).alias("pos", "w")).join(wanted, "w")
-    starts = spots.select(id_col, "w", F.explode(F.sequence(F.greatest(F.col("pos") - window + 1, F.lit(0)), F.least("pos", "last"))).alias("s")).distinct()
-    single = starts.groupBy("w").agg(F.count("*").alias("n"))
-    a, b = starts.select(id_col, "s", F.col("w").alias("a")), starts.select(id_col, "s", F.col("w").alias("b"))
-    pair = a.join(b, [id_col, "s"]).groupBy("a", "b").agg(F.count("*").alias("nab"))
-    t = topics.select("topic_id", "word").distinct()
+    together: dict[str, set[str]] = {}
+    for topic, word in listed:
+        together.setdefault(word, set()).update(w for k, w in listed if k == topic)
+    counted = docs.select(tokens).mapInArrow(_window_counts(together, window), "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("nab"))
+    counted = durable(counted)
+    pair, single = counted, counted.where("a = b").select(F.col("a").alias("w"), F.col("nab").alias("n"))
     both = t.select("topic_id", F.col("word").alias("a")).join(t.select("topic_id", F.col("word").alias("b")), "topic_id")
     p = both.join(pair, ["a", "b"], "left").join(single.select(F.col("w").alias("a"), F.col("n").alias("na")), "a", "left").join(single.select(F.col("w").alias("b"), F.col("n").alias("nb")), "b", "left")
     p = p.join(F.broadcast(n_windows)).na.fill(0, ["nab", "na", "nb"])
-    pab, pa, pb = (F.col(c) / F.col("N") for c in ("nab", "na", "nb"))
-    npmi = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(F.log((pab + eps) / (pa * pb)) / -F.log(pab + eps))
+    p_ab, p_a, p_b = (F.col(c) / F.col("N") for c in ("nab", "na", "nb"))
+    npmi = F.when((F.col("na") == 0) | (F.col("nb") == 0), 0.0).otherwise(F.log((p_ab + eps) / (p_a * p_b)) / -F.log(p_ab + eps))
     v = p.select("topic_id", "a", "b", npmi.alias("x"))
     total = v.groupBy("topic_id", "b").agg(F.sum("x").alias("y"))
     cos = v.join(total, ["topic_id", "b"]).groupBy("topic_id", "a").agg((F.sum(F.col("x") * F.col("y")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("y") * F.col("y"))))).alias("c"))
