@@ -28,6 +28,7 @@ CLOSED_CLASS = (
     *LOWER_OK, "we", "our", "us", "you", "your", "he", "she", "it", "its", "they", "their", "this", "that", "these", "those", "if", "when", "while", "as", "because", "although", "however",
     "there", "here", "is", "are", "was", "were", "be", "been", "have", "has", "had", "may", "might", "can", "could", "will", "would", "should", "must", "not", "no", "any", "some", "such", "from", "or", "but",
 )
+#: Marked title lines, and page numbers before the words "table of contents".
 TITLE_LINE = r"(?i)^\s*##title\b"
 TABLE_OF_CONTENTS = r"(?i)(?:\d{1,3}[ \t]*(?:\n{0,2})[ \t]*)table of contents"
 
@@ -128,35 +129,46 @@ def is_heading(c: Column, noun: Predicate = noun_first) -> Column:
     return (_capitals(F.slice(ws, 1, 12)) >= 3) & (F.size(ws) <= 12) & ~strip(c).rlike(r"[.!?;:]$") & noun(c) & ~has_date_or_number(c)
 
 
+#: The first words of HEADINGS: only windows that begin so are held against the patterns.
+_HEADING_STARTS = ("Risk", "Risks", "General", "Legal", "Regulatory", "Summary", "Certain")
+#: A word as it may stand in a title: no letters, or each run of them in upper and then lower case.
+_TITLE_WORD = r"^[^\p{L}]*(?:\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*)?$"
+
+
 def embedded_heading(c: Column, noun: Predicate = noun_first) -> Column:
     """The first window of words that reads as a heading before a body of five words or more, as
-    struct(s, e), words s to e (exclusive) from 0; null for none. At most 72 windows are looked at, and
-    what does not depend on the window is worked out once for each word."""
+    struct(s, e), words s to e (exclusive) from 0; null for none. At most 72 windows are looked at. What
+    does not depend on the window is worked out once for each word and kept as a string of marks, so a
+    window is judged by substrings; patterns are tried only where a window begins like one."""
+    known = "|".join(f"(?:{pattern})" for pattern in HEADINGS)
+    marks = lambda ws, test: F.array_join(F.transform(ws, lambda w: F.when(test(w), "1").otherwise("0")), "")
 
     def scan(row: Column) -> Column:
         ws, n = row["ws"], F.size(row["ws"])
-        span = lambda s: F.when(F.least(s + 15, n) > s + 3, F.transform(F.sequence(s + 3, F.least(s + 15, n) - 1), lambda e: F.struct(s.alias("s"), e.alias("e"))))
+        span = lambda s: F.when((F.least(s + 15, n - 4) > s + 3) & (F.substring(row["nouns"], s + 1, F.lit(1)) == "1"), F.transform(F.sequence(s + 3, F.least(s + 15, n - 4) - 1), lambda e: F.struct(s.alias("s"), e.alias("e"))))
         spans = F.flatten(F.filter(F.transform(F.sequence(F.lit(0), F.lit(5)), span), lambda x: x.isNotNull()))
-        known = "|".join(f"(?:{pattern})" for pattern in HEADINGS)
 
         def good(x: Column) -> Column:
             width = x["e"] - x["s"]
-            within = lambda c: F.slice(row[c], x["s"] + 1, width)
+            within = lambda name: F.substring(row[name], x["s"] + 1, width)
+            capitals = F.length(F.replace(within("caps"), F.lit("0"), F.lit("")))
             text = F.array_join(F.slice(ws, x["s"] + 1, width), " ")
-            capitals = F.aggregate(within("caps"), F.lit(0), lambda a, y: a + y)
-            fits = (n - x["e"] >= 5) & F.get(row["nouns"], x["s"]) & ~F.array_contains(within("dated"), True)
-            return fits & ((capitals >= 3) | text.rlike(known) | ((width <= 8) & is_title(text)))
+            title = (width <= 8) & ~within("titled").contains("0") & within("letters").contains("1")
+            begins = in_list(F.get(ws, x["s"]), _HEADING_STARTS) & text.rlike(known)
+            return ~within("dated").contains("1") & ((capitals >= 3) | title | begins)
 
         return F.get(F.filter(spans, good), 0)
 
-    # A window ends at word 20 at the latest, and needs only to know whether five more follow.
-    first = lambda ws: F.slice(ws, 1, 26)
-    capital = lambda w: (starts_upper(w) & ~in_list(F.lower(w), LOWER_OK)).cast("int")
-
     def facts(ws: Column) -> Column:
-        return F.struct(ws.alias("ws"), F.transform(ws, capital).alias("caps"), F.transform(ws, noun).alias("nouns"), F.transform(ws, has_date_or_number).alias("dated"))
+        return F.struct(
+            ws.alias("ws"), marks(ws, lambda w: starts_upper(w) & ~in_list(F.lower(w), LOWER_OK)).alias("caps"), marks(ws, noun).alias("nouns"), marks(ws, has_date_or_number).alias("dated"),
+            marks(ws, lambda w: w.rlike(_TITLE_WORD)).alias("titled"), marks(ws, lambda w: w.rlike(r"\p{L}")).alias("letters"),
+        )
 
-    return let(first(words(c)), lambda ws: let(facts(ws), scan))
+    # A window ends at word 20 at the latest, and needs only to know whether five more follow. Fewer than eight words, or
+    # none that begins in upper case, leave no window.
+    first = lambda ws: F.slice(ws, 1, 26)
+    return let(first(words(c)), lambda ws: F.when((F.size(ws) >= 8) & F.exists(F.slice(ws, 1, 20), lambda w: w.rlike(r"\p{Lu}")), let(facts(ws), scan)))
 
 
 def without_span(c: Column, span: Column) -> Column:
@@ -192,6 +204,15 @@ def clean_titles(df: DataFrame, key: list[str], col: str = "content", noun: Pred
     return parts.select(*key, "pos", "part", F.when(~F.col("heading"), without_caps_heading(F.col("body"))).alias("text"), removed.alias("removed"))
 
 
+def cleaned_files(cleaned: DataFrame, key: str = "filename") -> DataFrame:
+    """(key, text, removed_titles) of what clean_titles gives: the paragraphs that stay, with blank lines between,
+    and what was taken out, one to a line. A file's text is the product, so it is gathered by design."""
+    place = F.struct("pos", "part")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull() & (F.col("text") != ""), F.struct(place.alias("p"), F.col("text").alias("t"))))), lambda x: x["t"]), "\n\n")
+    removed = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("removed").alias("r")))), lambda x: x["r"])), "\n")
+    return cleaned.groupBy(key).agg(text.alias("text"), removed.alias("removed_titles"))
+
+
 def aggregate_company_years(lines: DataFrame, sep: str = "\n") -> DataFrame:
     """Lines (filename, pos, line, Company, FilingType, Year) to one text for each company, filing type and
     year: by file name, then line. The text is the product, so its group is gathered by design."""
@@ -199,12 +220,18 @@ def aggregate_company_years(lines: DataFrame, sep: str = "\n") -> DataFrame:
     return lines.groupBy("Company", "FilingType", "Year").agg(text.alias("text"))
 
 
+def first_known(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each key: of every column the first value, by ``order``, that is not null."""
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+    return df.groupBy(key).agg(*[first(c) for c in df.columns if c not in (key, order)])
+
+
 def enrich(main: DataFrame, info: DataFrame, key: str = "Company", order: str | None = None) -> DataFrame:
-    """Left join of attributes, the first row of each key only. Spark picks a broadcast by the
+    """Left join of attributes, of each key the first that is not null in each column. Spark picks a broadcast by the
     dimension's size; a large one is joined by shuffle."""
-    order = order or key
-    first = info.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in info.columns if c != key])
-    return main.join(first, key, "left")
+    rest = [c for c in info.columns if c != key]
+    ordered = info.withColumn("_order", F.col(order) if order else F.struct(*rest)) if rest else info.withColumn("_order", F.lit(0))
+    return main.join(first_known(ordered, key, "_order"), key, "left")
 
 
 def unmatched(enriched: DataFrame, attributes: list[str], key: str = "Company") -> DataFrame:

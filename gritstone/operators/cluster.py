@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, l2_normalised
-from ..session import ship
+from ..session import durable, ship
 
 
 def size_flag(n: Column, small: int = 150, large: int = 800) -> Column:
@@ -39,12 +37,20 @@ def means_2d(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     return df.groupBy(cluster).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
+#: Clusters of a tile of the similarity matrix.
+SIDE = 256
+
+
 def centroid_similarity(cents: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(a, b, sim) of all clusters: cosine of centroids, 1 on the diagonal. Clusters are few hundreds by
-    nature, and each pair is wanted."""
-    u = cents.select(F.col(cluster).alias("c"), l2_normalised(F.col("centroid")).alias("u"), F.lit(0).alias("k"))
-    pairs = u.select(F.col("c").alias("a"), F.col("u").alias("ua"), "k").join(u.select(F.col("c").alias("b"), F.col("u").alias("ub"), "k"), "k")
-    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(dot(F.col("ua"), F.col("ub"))).alias("sim"))
+    """(a, b, sim) of all clusters: cosine of centroids, 1 on the diagonal. Every pair is wanted; the matrix is dealt in
+    tiles of about SIDE x SIDE, so no task has more than one tile's pairs."""
+    u = durable(cents.select(F.col(cluster).alias("c"), l2_normalised(F.col("centroid")).alias("u")))
+    tiles = max(1, -(-u.count() // SIDE))
+    u = u.withColumn("t", F.pmod(F.xxhash64("c"), F.lit(tiles)))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
+    left = u.select(F.col("c").alias("a"), F.col("u").alias("ua"), F.col("t").alias("tl"), every.alias("tr"))
+    right = u.select(F.col("c").alias("b"), F.col("u").alias("ub"), F.col("t").alias("tr"), every.alias("tl"))
+    return left.join(right, ["tl", "tr"]).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(dot(F.col("ua"), F.col("ub"))).alias("sim"))
 
 
 def summary(df: DataFrame, label: str = "cluster") -> DataFrame:
@@ -192,7 +198,9 @@ def hdbscan_grid(df: DataFrame, row: str = "row_id", vector: str = "embedding",
 
 
 def average_linkage(similarity: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Merges (step, left, right, distance, size) of average linkage on 1 - similarity, clipped to [0, 1].
+    """Merges (step, left, right, distance, size) of average linkage on 1 - similarity, clipped to [0, 1]. Numbers below
+    that of clusters are the clusters in order, later ones earlier merges. With ``labels`` (cluster,
+    n_sentences, size_flag) left_label and right_label name clusters as ``id (n=..., flag)``.
     The matrix is that of clusters, a few hundred, and is merged on the driver by design."""
     rows = similarity.select("a", "b", "sim").collect()
     names = sorted({r["a"] for r in rows})
@@ -212,6 +220,11 @@ def average_linkage(similarity: DataFrame, labels: DataFrame | None = None) -> D
         d2[:-1, :-1] = d[np.ix_(keep, keep)]
         d2[-1, :-1] = d2[:-1, -1] = merged[keep]
         d, ids, size = d2, [ids[k] for k in keep] + [len(names) + len(out) - 1], [size[k] for k in keep] + [size[i] + size[j]]
-    return similarity.sparkSession.createDataFrame(out, "step int, left int, right int, distance double, size int")
-
-
+    spark = similarity.sparkSession
+    merges = spark.createDataFrame(out, "step int, left int, right int, distance double, size int")
+    if labels is None:
+        return merges
+    known = {r["cluster"]: f"{r['cluster']} (n={r['n_sentences']},{r['size_flag']})" for r in labels.select("cluster", "n_sentences", "size_flag").collect()}
+    leaves = spark.createDataFrame([(k, known.get(name, str(name))) for k, name in enumerate(names)], "leaf int, label string")
+    named = lambda side: leaves.select(F.col("leaf").alias(side), F.col("label").alias(f"{side}_label"))
+    return merges.join(named("left"), "left", "left").join(named("right"), "right", "left").select(*merges.columns, "left_label", "right_label")

@@ -39,12 +39,13 @@ def corpus_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return stats.join(F.broadcast(vocabulary))  # one row each
 
 
-def duplicate_rate(texts: DataFrame, text: Column, after: int | None = None) -> DataFrame:
-    """total, distinct texts, share of duplicates (4 digits). Distinct texts are counted by hash
-    partitions of the text, not in one set."""
+def duplicate_rate(texts: DataFrame, text: Column, after: DataFrame | None = None) -> DataFrame:
+    """total, distinct texts, share of duplicates (4 digits) and, given the deduplicated table, its rows as after_dedup.
+    Distinct texts are counted by hash partitions of the text, not in one set."""
     per = texts.select(text.alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     out = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_texts"))
-    return out.withColumn("duplicate_rate", F.when(F.col("total") > 0, F.bround(1 - F.col("unique_texts") / F.col("total"), 4)).otherwise(0.0))
+    out = out.withColumn("duplicate_rate", F.when(F.col("total") > 0, F.bround(1 - F.col("unique_texts") / F.col("total"), 4)).otherwise(0.0))
+    return out if after is None else out.join(F.broadcast(after.agg(F.count("*").alias("after_dedup"))))  # one row each
 
 
 def cluster_size_stats(mapping: DataFrame, size: str = "cluster_size") -> DataFrame:

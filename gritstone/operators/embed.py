@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import argmax, dot, l2_normalised, norm, softmax
 from ..session import durable, ship
+from .tokens import with_places
 
 Embedder = Callable[[], Callable[[list[str]], np.ndarray]]
 BATCH, LEAST_BATCH = 256, 8
@@ -28,13 +29,20 @@ def hashed_ngrams(dim: int = 64, n: int = 3) -> Embedder:
     """Unit vectors of hashed character n-grams with a sign, the same everywhere and always."""
 
     def load():
+        # What each byte does to a CRC: a window's value is the exclusive or of its bytes' shares.
+        base = zlib.crc32(bytes(n))
+        share = np.array([[zlib.crc32(bytes(k) + bytes([b]) + bytes(n - 1 - k)) ^ base for b in range(256)] for k in range(n)], np.uint32)
+
         def run(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for k, text in enumerate(texts):
-                t = f" {text.lower()} ".encode()
-                for j in range(max(0, len(t) - n + 1)):
-                    h = zlib.crc32(t[j : j + n])
-                    out[k, h % dim] += 1.0 if h >> 31 else -1.0
+                t = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+                count = len(t) - n + 1
+                if count > 0:
+                    h = np.full(count, base, np.uint32)
+                    for j in range(n):
+                        h ^= share[j][t[j : j + count]]
+                    out[k] = np.bincount(h % dim, np.where(h >> 31, 1.0, -1.0), dim)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return run
@@ -242,6 +250,27 @@ def first_singular_share(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.sparkSession.createDataFrame([(float(values[0] / (values.sum() + 1e-9)),)], "sv1_frac double")
 
 
+def quality(df: DataFrame, row: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """One row on a model's vectors: n, norm_mean, norm_std, sv1_frac, pairs, mean, p90, p99, frac_above_09."""
+    parts = [norms(df, vector), first_singular_share(df, vector), pairwise_stats(df, row, vector)]
+    return parts[0].join(F.broadcast(parts[1])).join(F.broadcast(parts[2]))  # one row each
+
+
+def sample_pairs(df: DataFrame, pairs: int = 2_000_000, seed: int = 42, row: str = "row_id", vector: str = "embedding") -> DataFrame:
+    """(i, a, b, sim) of ``pairs`` pairs of different rows drawn with replacement, the same on every run: places among
+    the rows in order come from two multiplicative hashes of the draw's number."""
+    spark = df.sparkSession
+    placed = durable(with_places(df.select(F.col(row).alias("row"), l2_normalised(F.col(vector)).alias("u")), "row", "p"))
+    n = placed.count()
+    if n < 2:
+        return spark.createDataFrame([], f"i bigint, a {df.schema[row].dataType.simpleString()}, b {df.schema[row].dataType.simpleString()}, sim double")
+    drawn = lambda factor, shift, most: (F.col("i") * factor + shift) % (1 << 32) % most
+    d = spark.range(pairs).select(F.col("id").alias("i")).withColumn("pa", drawn(2654435761, seed, n)).withColumn("pb", drawn(2246822519, seed + 1, n - 1))
+    d = d.withColumn("pb", F.when(F.col("pb") >= F.col("pa"), F.col("pb") + 1).otherwise(F.col("pb")))
+    one, other = placed.select(F.col("p").alias("pa"), F.col("row").alias("a"), F.col("u").alias("ua")), placed.select(F.col("p").alias("pb"), F.col("row").alias("b"), F.col("u").alias("ub"))
+    return d.join(one, "pa").join(other, "pb").select("i", "a", "b", dot(F.col("ua"), F.col("ub")).alias("sim"))
+
+
 def quick_silhouette(df: DataFrame, k: int = 10, seed: int = 42, row: str = "row_id", vector: str = "embedding") -> DataFrame:
     """Cosine silhouette of labels from a seeded projection to eight dimensions: the sum of floored
     z-scores, mod k. Null where there are fewer than two labels."""

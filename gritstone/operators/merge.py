@@ -58,3 +58,11 @@ def merged_centres(centres: DataFrame, mapped: DataFrame) -> DataFrame:
     """2-D centres of merged clusters: the plain mean of the old centres, whatever their sizes."""
     m = apply(centres, mapped)
     return m.groupBy(F.col("cluster_merged").alias("cluster")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def common_ids(tables: list[DataFrame], key: str = "cluster") -> DataFrame:
+    """The ids that all of the tables have."""
+    out = tables[0].select(key).where(F.col(key).isNotNull()).distinct()
+    for t in tables[1:]:
+        out = out.join(t.select(key), key, "left_semi")
+    return out

@@ -6,9 +6,16 @@ Everything goes through Spark's readers and writers, so any file system Spark re
 from __future__ import annotations
 
 import codecs
+import functools
+import io as stdio
+import re
+import zipfile
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import strip
 
@@ -18,10 +25,11 @@ DELIMITERS = {",": "comma", ";": "semicolon", "\t": "tab"}
 HEAD_BYTES = 200_000
 
 
-def read_texts(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*.txt", skip_cleaned: bool = False) -> DataFrame:
-    """(path, filename, content): whole texts by file, bad bytes and byte-order marks dropped."""
+def read_texts(spark: SparkSession, path: str, recursive: bool = False, glob: str = "*.txt", skip_cleaned: bool = False, strict: bool = False) -> DataFrame:
+    """(path, filename, content): whole texts by file, bad bytes and byte-order marks dropped. ``strict`` makes bad bytes
+    an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    text = F.replace(F.expr("make_valid_utf8(cast(content as string))"), F.lit("\ufffd"), F.lit(""))
+    text = F.expr("validate_utf8(cast(content as string))") if strict else F.replace(F.expr("make_valid_utf8(cast(content as string))"), F.lit("\ufffd"), F.lit(""))
     out = files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_replace(text, "^\ufeff", "").alias("content"))
     out = out.where(~F.col("filename").startswith("."))
     return out.where(~F.contains(F.lower("filename"), F.lit("cleaned"))) if skip_cleaned else out
@@ -50,9 +58,20 @@ def sniff_encoding(head: bytes, whole: bool = False) -> str:
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of the file, or of the first file of a folder, by Spark's reader."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, HEAD_BYTES).alias("h")).first()
-    return bytes(row["h"]) if row else b""
+    """The first bytes of the file, or of the first file of a folder, through Hadoop's streams: no more is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getFileStatus(target).isDirectory():
+        names = [s.getPath() for s in system.listStatus(target) if s.isFile() and s.getPath().getName()[:1] not in "._"]
+        if not names:
+            return b""
+        target = min(names, key=lambda p: p.getName())
+    stream = system.open(target)
+    try:
+        return bytes(stream.readNBytes(HEAD_BYTES))
+    finally:
+        stream.close()
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
@@ -62,7 +81,7 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     encoding = encoding or sniff_encoding(head, len(head) < HEAD_BYTES)
     sep = sep or sniff_delimiter(head.decode(encoding, errors="replace")) or ","
     java = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1", "ascii": "US-ASCII"}.get(encoding, encoding)
-    table = spark.read.csv(path, header=True, sep=sep, encoding=java, mode="DROPMALFORMED", multiLine=True)
+    table = spark.read.csv(path, header=True, sep=sep, encoding=java, mode="DROPMALFORMED", multiLine=True, escape='"')
     if encoding == "cp1252":
         # It differs from latin1 in 0x80 to 0x9F only, where latin1 has control characters.
         pairs = [(bytes([b]).decode("latin1"), bytes([b]).decode("cp1252", errors="ignore")) for b in range(0x80, 0xA0)]
@@ -76,14 +95,50 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, tab or comma separated, by the name's ending."""
     low = path.lower().rstrip("/")
     if low.endswith(".tsv"):
-        return spark.read.csv(path, header=True, sep="\t")
+        return read_delimited(spark, path, sep="\t")
     if low.endswith((".csv", ".txt")):
         return read_delimited(spark, path)
-    if low.endswith((".xlsx", ".xls")):
-        raise ValueError("spreadsheets have no reader here: save the sheet as CSV or Parquet")
+    if low.endswith(".xlsx"):
+        return read_sheet(spark, path)
+    if low.endswith(".xls"):
+        raise ValueError("the old binary spreadsheets have no reader here: save as XLSX, CSV or Parquet")
     return spark.read.parquet(path)
 
 
+def sheet_rows(data: bytes) -> list[list[str | None]]:
+    """The first sheet of an XLSX file, row by row, as text; gaps are None."""
+    tag = lambda e: e.tag.rpartition("}")[2]
+    inner = lambda e: "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+    with zipfile.ZipFile(stdio.BytesIO(data)) as z:
+        names = set(z.namelist())
+        shared = [inner(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        rows = []
+        for row in (e for e in ElementTree.fromstring(z.read(first)).iter() if tag(e) == "row"):
+            cells: dict[int, str | None] = {}
+            for k, c in enumerate(e for e in row if tag(e) == "c"):
+                letters = re.match(r"[A-Z]+", c.get("r", ""))
+                at = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters[0], 0) - 1 if letters else k
+                value = next((e.text for e in c if tag(e) == "v"), None)
+                kind = c.get("t")
+                cells[at] = shared[int(value)] if kind == "s" and value is not None else inner(c) if kind == "inlineStr" else value
+            rows.append([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+    return rows
+
+
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of an XLSX file, its first row as header, all columns text. A sheet is made by people and is
+    small (a million rows by its format): it is read in one piece through Spark's binary reader."""
+    found = spark.read.format("binaryFile").load(path).orderBy("path").select("content").first()
+    rows = sheet_rows(bytes(found["content"])) if found else []
+    if not rows:
+        return spark.createDataFrame([], "value string")
+    names = [n if n else f"column{k + 1}" for k, n in enumerate(rows[0])]
+    width = len(names)
+    body = [tuple((r + [None] * width)[:width]) for r in rows[1:]]
+    return spark.createDataFrame(body, StructType([StructField(n, StringType()) for n in names]))
+
+
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A square CSV with names in its first column and header, as (a, b, sim)."""
     m = spark.read.csv(path, header=True, inferSchema=True)
@@ -148,11 +203,23 @@ def word_list(spark: SparkSession, path: str, phrases: bool = False) -> list[str
 # ---------------------------------------------------------------- sinks
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").option("quoteAll", str(quote_all).lower()).csv(path, header=True)
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, bom: bool = False) -> None:
+    """CSV with a header in each part file. ``bom`` puts a byte-order mark before it, as spreadsheets like."""
+    if not bom:
+        df.write.mode("overwrite").option("quoteAll", str(quote_all).lower()).option("escape", '"').csv(path, header=True)
+        return
+    quoted = ",".join(('"' + c.replace('"', '""') + '"') if quote_all or set(c) & set('",\n') else c for c in df.columns)
+    options = {"quoteAll": str(quote_all).lower(), "escape": '"', "header": "false"}
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(["\ufeff" + quoted])], names=["value"])
+        yield from batches
+
+    df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), options).alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
+    """Spark brings its Parquet writer with it, so there is no other engine to fall back to."""
     df.write.mode("overwrite").parquet(path)
 
 
