@@ -9,7 +9,8 @@ from ..operators import embed as E
 from ..operators import keywords as K
 from ..operators import merge as M
 from ..operators import reduce as R
-from .adapters import CLUSTER_SENTENCES, CLUSTERED, cluster_sentences, clustered, sentences
+from .adapters import CLUSTER_SENTENCES, CLUSTERED, SENTENCES, cluster_sentences, clustered, sentences
+from .filings import sql_list
 
 QUERIES, ORACLE_SQL = {}, {}
 #: Size limits that put the small test tables into all three classes.
@@ -246,7 +247,29 @@ def cross_model_nn(spark, sf_dir):
 
 @query()
 def average_linkage(spark, sf_dir):
-    return C.average_linkage(similarity(spark, sf_dir))
+    return C.average_linkage(similarity(spark, sf_dir), sizes(spark, sf_dir))
+
+
+@query(f"""SELECT cluster FROM ({SIZES}) WHERE n_sentences >= {SMALL} INTERSECT SELECT cluster FROM ({CENTRES}) WHERE x > -1 INTERSECT SELECT a FROM ({SIM}) WHERE a <> b AND sim > 0 INTERSECT SELECT CAST(label AS VARCHAR) FROM embeddings""")
+def common_clusters(spark, sf_dir):
+    labels = clustered(spark, sf_dir).select("cluster")
+    return M.common_ids([sizes(spark, sf_dir).where(f"n_sentences >= {SMALL}"), C.means_2d(kept(spark, sf_dir)).where("x > -1"), similarity(spark, sf_dir).where("a <> b and sim > 0").select(F.col("a").alias("cluster")), labels], "cluster")
+
+
+@query(f"""SELECT n.*, mean, p90, p99, frac_above_09 FROM (SELECT count(*) AS n, round(avg(norm), 6) AS norm_mean, round(stddev_pop(norm), 6) AS norm_std FROM ({ALL_UNITS})) n,
+(SELECT round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99, round(avg(CASE WHEN sim > 0.9 THEN 1.0 ELSE 0.0 END), 6) AS frac_above_09 FROM ({ALL_PAIRS}))""")
+def embedding_quality(spark, sf_dir):
+    # The row's sv1_frac has no SQL; sv1_fraction gives it.
+    return E.quality(clustered(spark, sf_dir)).select("n", *r6("norm_mean", "norm_std", "mean", "p90", "p99", "frac_above_09"))
+
+
+PAIRS, SEED = 5000, 42
+DRAWN = f"SELECT i, a0 AS pa, CASE WHEN b0 >= a0 THEN b0 + 1 ELSE b0 END AS pb FROM (SELECT i, ((i * 2654435761 + {SEED}) % 4294967296) % n AS a0, ((i * 2246822519 + {SEED + 1}) % 4294967296) % (n - 1) AS b0 FROM range({PAIRS}) t(i), (SELECT count(*) AS n FROM ({CLUSTERED})))"
+
+
+@query(f"""WITH u AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) - 1 AS p, row_id, u FROM ({ALL_UNITS})) SELECT i, x.row_id AS a, y.row_id AS b, round({DOT.format(a='x.u', b='y.u')}, 6) AS sim FROM ({DRAWN}) JOIN u x ON x.p = pa JOIN u y ON y.p = pb""")
+def sampled_pairs(spark, sf_dir):
+    return E.sample_pairs(clustered(spark, sf_dir), PAIRS, SEED).select("i", "a", "b", *r6("sim"))
 
 
 @query()
@@ -280,9 +303,14 @@ def embed_texts(spark, sf_dir):
     return E.embed(sentences(spark, sf_dir), "sentence").select("row_id", "embedding")
 
 
-@query()
+LEXICON = "CAST(len(list_filter(w, lambda x: x IN {0})) AS DOUBLE)"
+COUNTED = f"SELECT row_id, {LEXICON.format(sql_list(E.POSITIVE))} AS p, {LEXICON.format(sql_list(E.NEGATIVE))} AS n FROM (SELECT row_id, string_split_regex(lower(sentence), '[^a-z]+') AS w FROM ({SENTENCES}))"
+
+
+@query(f"""SELECT row_id, CASE WHEN p >= greatest(n, 0.5) THEN 'positive' WHEN n >= 0.5 THEN 'negative' ELSE 'neutral' END AS sentiment_label, round(exp(p) / (exp(p) + exp(n) + exp(0.5)), 6) AS sentiment_score_positive,
+round(exp(0.5) / (exp(p) + exp(n) + exp(0.5)), 6) AS sentiment_score_neutral, round(exp(n) / (exp(p) + exp(n) + exp(0.5)), 6) AS sentiment_score_negative FROM ({COUNTED})""")
 def sentiment_scores(spark, sf_dir):
-    return E.sentiment(sentences(spark, sf_dir), "sentence").select("row_id", "sentiment_label", "sentiment_score_positive", "sentiment_score_neutral", "sentiment_score_negative")
+    return E.sentiment(sentences(spark, sf_dir), "sentence").select("row_id", "sentiment_label", *r6("sentiment_score_positive", "sentiment_score_neutral", "sentiment_score_negative"))
 
 
 @query()

@@ -181,6 +181,29 @@ def least_similar_samples(spark, sf_dir):
     return D.least_similar(_mapping(spark, sf_dir)).select("rep_index", "row_index", "cluster_size", *r6("sim_to_rep"), "rank_in_cluster")
 
 
+#: What is known of each row beside its similarity.
+ATTRIBUTES = f"SELECT row_id, cluster, round(x, 6) AS x FROM ({CLUSTERED})"
+
+
+def _attributes(spark, sf_dir):
+    return clustered(spark, sf_dir).select(F.col("row_id").alias("row_index"), "cluster", *r6("x"))
+
+
+@query(f"""WITH m AS MATERIALIZED ({MAPPING}), t AS MATERIALIZED ({ATTRIBUTES}), w AS (SELECT rep_index, arg_min(row_index, (sim_to_rep, row_index)) AS worst FROM m WHERE row_index <> rep_index GROUP BY 1)
+SELECT m.rep_index, cluster_size, w.worst AS worst_member_row_index, p.cluster AS rep_cluster, p.x AS rep_x, q.cluster AS worst_member_cluster, q.x AS worst_member_x
+FROM m LEFT JOIN w ON w.rep_index = m.rep_index LEFT JOIN t p ON p.row_id = m.rep_index LEFT JOIN t q ON q.row_id = w.worst WHERE is_representative""")
+def review_attributes(spark, sf_dir):
+    d = D.review(_mapping(spark, sf_dir), _attributes(spark, sf_dir))
+    return d.select("rep_index", "cluster_size", "worst_member_row_index", "rep_cluster", "rep_x", "worst_member_cluster", "worst_member_x")
+
+
+@query(f"""WITH t AS MATERIALIZED ({ATTRIBUTES}) SELECT s.rep_index, s.row_index, rank_in_cluster, p.cluster AS rep_cluster, p.x AS rep_x, q.cluster AS mem_cluster, q.x AS mem_x
+FROM (SELECT *, row_number() OVER (PARTITION BY rep_index ORDER BY sim_to_rep, row_index) AS rank_in_cluster FROM ({MAPPING}) WHERE row_index <> rep_index) s JOIN t p ON p.row_id = s.rep_index JOIN t q ON q.row_id = s.row_index WHERE rank_in_cluster <= 10""")
+def sample_attributes(spark, sf_dir):
+    d = D.least_similar(_mapping(spark, sf_dir), attributes=_attributes(spark, sf_dir))
+    return d.select("rep_index", "row_index", "rank_in_cluster", "rep_cluster", "rep_x", "mem_cluster", "mem_x")
+
+
 @query(f"""SELECT count(*) AS count_docs, round(avg(cluster_size), 6) AS mean_cluster_size, round(quantile_cont(CAST(cluster_size AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(cluster_size AS DOUBLE), 0.9), 6) AS p90, max(cluster_size) AS max FROM ({MAPPING})""")
 def dup_cluster_stats(spark, sf_dir):
     return K.cluster_size_stats(_mapping(spark, sf_dir)).select("count_docs", *r6("mean_cluster_size", "median", "p90"), "max")
@@ -189,9 +212,10 @@ def dup_cluster_stats(spark, sf_dir):
 LIGHT = "regexp_replace(lower(trim(sentence)), '\\s+', ' ', 'g')"
 
 
-@query(f"SELECT count(*) AS total, count(DISTINCT {LIGHT}) AS unique_texts, round_even(1 - count(DISTINCT {LIGHT}) / count(*), 4) AS duplicate_rate FROM ({SENTENCES})")
+@query(f"SELECT count(*) AS total, count(DISTINCT {LIGHT}) AS unique_texts, round_even(1 - count(DISTINCT {LIGHT}) / count(*), 4) AS duplicate_rate, (SELECT count(DISTINCT {NORM.format(c='sentence')}) FROM ({SENTENCES})) AS after_dedup FROM ({SENTENCES})")
 def dup_rate_compare(spark, sf_dir):
-    return K.duplicate_rate(sentences(spark, sf_dir), D.lightly_normalised(F.col("sentence")))
+    s = sentences(spark, sf_dir)
+    return K.duplicate_rate(s, D.lightly_normalised(F.col("sentence")), after=D.exact_dedup(s, "sentence", "row_id").where("is_exact_rep"))
 
 
 RAW_TOKENS = "regexp_extract_all(regexp_replace(lower(regexp_replace({c}, '<[^>]+>', ' ', 'g')), '\\d+(?:[,\\.\\d]*\\d)?', '<NUM>', 'g'), '<NUM>|[A-Za-z]+(?:''[A-Za-z]+)?')"
@@ -220,16 +244,14 @@ def token_rebuild(spark, sf_dir):
     return sentences(spark, sf_dir).select("row_id", F.array_join(T.without_number_marks(joined), " ").alias("tokens_str"))
 
 
-@query(f"SELECT row_id, array_to_string(tokens, '|') AS tokens FROM ({DOCS})")
+@query(f"SELECT row_id, array_to_string(list_concat(tokens, CASE WHEN row_id % 3 = 0 THEN ['it''s'] ELSE [] END), '|') AS tokens FROM ({DOCS})")
 def token_coercion(spark, sf_dir):
-    # The tokens as a list literal, read back.
-    literal = F.concat(F.lit("['"), F.array_join("tokens", "', '"), F.lit("']"))
-    return docs(spark, sf_dir).select("row_id", F.array_join(T.coerced(F.when(F.size("tokens") > 0, F.when(F.col("row_id") % 2 == 0, F.replace(literal, F.lit("''"), F.lit("'"))).otherwise(F.array_join("tokens", " "))).otherwise("[]")), "|").alias("tokens"))
-
+    # The tokens as a list literal, read back; entries with an apostrophe stand in double quotes.
+    d = docs(spark, sf_dir).withColumn("tokens", F.when(F.col("row_id") % 3 == 0, F.concat("tokens", F.array(F.lit("it's")))).otherwise(F.col("tokens")))
+    quoted = F.transform("tokens", lambda t: F.when(t.contains("'"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), t, F.lit("'"))))
+    literal = F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    return d.select("row_id", F.array_join(T.coerced(F.when(F.col("row_id") % 2 == 0, literal).otherwise(F.array_join("tokens", " "))), "|").alias("tokens"))
 
-ORACLE_SQL["token_coercion"] = f"SELECT row_id, array_to_string(tokens, '|') AS tokens FROM ({DOCS}) WHERE len(list_filter(tokens, lambda t: contains(t, ''''))) = 0"
-_coercion = QUERIES["token_coercion"]
-QUERIES["token_coercion"] = lambda spark, sf_dir: _coercion(spark, sf_dir).where(~F.col("tokens").contains("'"))
 
 COUNTS = f"SELECT token, count(*) AS count FROM (SELECT unnest(tokens) AS token FROM ({DOCS})) GROUP BY 1"
 
@@ -256,12 +278,27 @@ def default_score_phrases(spark, sf_dir):
     return P.scored_pairs(docs(spark, sf_dir), min_count=10, threshold=1.0, scoring="default").select("a", "b", "n", *r6("score"))
 
 
-MERGED = f"""WITH RECURSIVE ok AS MATERIALIZED (SELECT a, b FROM ({SCORED}) WHERE npmi > {LOW}), d AS MATERIALIZED ({DOCS}),
-p AS (SELECT row_id, i, ok.a IS NOT NULL AS hit FROM (SELECT row_id, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS a, unnest(list_append(tokens[2:], NULL)) AS b FROM d) q LEFT JOIN ok ON ok.a = q.a AND ok.b = q.b),
-h AS MATERIALIZED (SELECT row_id, list(hit ORDER BY i) AS hits FROM p GROUP BY 1),
-m AS (SELECT d.row_id, tokens, hits, 1 AS i, CAST([] AS VARCHAR[]) AS out, false AS open FROM d LEFT JOIN h ON h.row_id = d.row_id
-UNION ALL SELECT row_id, tokens, hits, i + 1, CASE WHEN open AND hits[i - 1] THEN list_append(out[1:len(out) - 1], tokens[i - 1] || '_' || tokens[i]) ELSE list_append(out, tokens[i]) END, NOT (open AND hits[i - 1]) FROM m WHERE i <= len(tokens))
-SELECT row_id, out AS tokens_bi FROM m WHERE i = len(tokens) + 1"""
+def mined_sql(k: int, docs: str, min_count: int, threshold: float, scoring: str) -> str:
+    """Tables ok{k} (topic, a, b) of the pairs in ``docs`` (row_id, topic, tokens) that score above the threshold."""
+    score = "ln(p.n * t.total / (x.c * y.c)) / -ln(p.n / t.total)" if scoring == "npmi" else f"(p.n - {min_count}) / (x.c * y.c) * (t.kinds + v.kinds)"
+    return f"""c{k} AS MATERIALIZED (SELECT topic, token, CAST(count(*) AS DOUBLE) AS c FROM (SELECT topic, unnest(tokens) AS token FROM {docs}) GROUP BY ALL),
+p{k} AS MATERIALIZED (SELECT topic, a, b, count(*) AS n FROM (SELECT topic, unnest(list_transform(range(1, len(tokens)), lambda i: {{'a': tokens[i], 'b': tokens[i + 1]}}), recursive := true) FROM {docs} WHERE len(tokens) > 1) GROUP BY ALL),
+ok{k} AS MATERIALIZED (SELECT topic, a, b FROM (SELECT p.*, {score} AS score FROM p{k} p JOIN c{k} x ON x.topic = p.topic AND x.token = p.a JOIN c{k} y ON y.topic = p.topic AND y.token = p.b
+JOIN (SELECT topic, sum(c) AS total, count(*) AS kinds FROM c{k} GROUP BY 1) t ON t.topic = p.topic JOIN (SELECT topic, count(*) AS kinds FROM p{k} GROUP BY 1) v ON v.topic = p.topic WHERE p.n >= {min_count}) WHERE score > {threshold})"""
+
+
+def merged_sql(k: int, docs: str, ok: str, out: str) -> str:
+    """Table ``out`` (row_id, topic, tokens): ``docs`` with the pairs in ``ok`` merged from left to right. In a run of
+    neighbouring accepted pairs the first, third, ... are merged."""
+    return f"""q{k} AS MATERIALIZED (SELECT row_id, i, q.a, q.b, ok.a IS NOT NULL AS hit FROM (SELECT row_id, topic, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS a, unnest(list_append(tokens[2:], NULL)) AS b FROM {docs} WHERE len(tokens) > 0) q
+LEFT JOIN {ok} ok ON ok.topic = q.topic AND ok.a = q.a AND ok.b = q.b),
+t{k} AS (SELECT *, hit AND (i - coalesce(max(CASE WHEN NOT hit THEN i END) OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS taken FROM q{k}),
+u{k} AS (SELECT *, coalesce(lag(taken) OVER (PARTITION BY row_id ORDER BY i), false) AS gone FROM t{k}),
+{out} AS MATERIALIZED (SELECT d.row_id, d.topic, coalesce(x.tokens, CAST([] AS VARCHAR[])) AS tokens FROM {docs} d LEFT JOIN (SELECT row_id, list(CASE WHEN taken THEN a || '_' || b ELSE a END ORDER BY i) AS tokens FROM u{k} WHERE NOT gone GROUP BY 1) x ON x.row_id = d.row_id)"""
+
+
+MERGED = f"""WITH ok AS MATERIALIZED (SELECT 0 AS topic, a, b FROM ({SCORED}) WHERE npmi > {LOW}), d AS MATERIALIZED (SELECT row_id, 0 AS topic, tokens FROM ({DOCS})),
+{merged_sql(0, 'd', 'ok', 'm')} SELECT row_id, tokens AS tokens_bi FROM m"""
 
 
 def _merged(spark, sf_dir):
@@ -279,11 +316,37 @@ def phrase_freq(spark, sf_dir):
     return P.phrase_frequencies(_merged(spark, sf_dir), "tokens_bi")
 
 
-@query()
+def phrase_chain(model: str, docs: str, bigram: tuple, trigram: tuple, scoring: str) -> str:
+    """A model mined in ``model`` and applied to ``docs``: the table ``tri`` (row_id, topic, tokens)."""
+    tables = [f"WITH f0 AS MATERIALIZED ({model}), d0 AS MATERIALIZED ({docs})", mined_sql(0, "f0", *bigram, scoring), merged_sql(0, "f0", "ok0", "f1"), mined_sql(1, "f1", *trigram, scoring), merged_sql(1, "d0", "ok0", "d1"), merged_sql(2, "d1", "ok1", "tri")]
+    return ",\n".join(tables)
+
+
+UNTOPIC = f"SELECT row_id, 0 AS topic, tokens FROM ({DOCS})"
+
+
+@query(f"{phrase_chain(UNTOPIC, UNTOPIC, (10, LOW), (5, LOW), 'npmi')} SELECT phrase, count(*) AS count FROM (SELECT unnest(tokens) AS phrase FROM tri) WHERE contains(phrase, '_') GROUP BY 1")
 def phrase_mining_trigrams(spark, sf_dir):
     return P.phrase_frequencies(P.mine_phrases(docs(spark, sf_dir), bigram=(10, LOW), trigram=(5, LOW), id_col="row_id"), "tokens_tri")
 
 
+@query(f"{phrase_chain(f'{UNTOPIC} WHERE row_id % 2 = 0', UNTOPIC, (10, LOW), (5, LOW), 'npmi')} SELECT row_id, array_to_string(tokens, ' ') AS tokens_tri FROM tri")
+def apply_phrases(spark, sf_dir):
+    # A model made of every other sentence, applied to all.
+    d = docs(spark, sf_dir)
+    model = P.fit_model(d.where("row_id % 2 = 0"), bigram=(10, LOW), trigram=(5, LOW), id_col="row_id")
+    return P.apply_model(d, *model, id_col="row_id").select("row_id", F.array_join("tokens_tri", " ").alias("tokens_tri"))
+
+
+LEMMA = r"CASE WHEN length(t) > 4 AND ends_with(t, 'ies') THEN regexp_replace(t, 'ies$', 'y') WHEN length(t) > 4 AND regexp_matches(t, '(sses|shes|ches|xes)$') THEN regexp_replace(t, 'es$', '') WHEN length(t) > 4 AND regexp_matches(t, '[^su]s$') THEN regexp_replace(t, 's$', '') ELSE t END"
+
+
+@query(f"SELECT row_id, array_to_string(list_filter(list_transform({RAW_TOKENS.format(c='sentence')}, lambda t: {LEMMA}), lambda t: t NOT IN ('<NUM>', 'num') AND t NOT IN {sql_list(T.STOPWORDS)} AND length(t) > 1), ' ') AS tokens_str FROM ({SENTENCES})")
+def lemma_tokens(spark, sf_dir):
+    t = T.filtered(T.lemmatised(T.topic_tokens(F.col("sentence"))))
+    return sentences(spark, sf_dir).select("row_id", F.array_join(t, " ").alias("tokens_str"))
+
+
 #: Phrases for the list operators: pairs of frequent syllables as the invented prose has them.
 LISTED = ("the_of", "and_the", "on_the")
 PHRASED = f"SELECT row_id, list_transform(tokens, lambda t, i: CASE WHEN i % 4 = 0 THEN 'on_the' WHEN i % 7 = 0 THEN 'keep_this' ELSE t END) AS tokens FROM ({DOCS})"

@@ -9,7 +9,7 @@ from ..operators import tokens as T
 from ..operators import topics as O
 from .adapters import table
 from .filings import sql_list
-from .sentences import COUNTS, DOCS, docs
+from .sentences import COUNTS, DOCS, docs, phrase_chain
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -29,7 +29,7 @@ def r6(*names):
 
 
 DF = f"SELECT token, count(*) AS df FROM (SELECT DISTINCT row_id, unnest(tokens) AS token FROM ({DOCS})) GROUP BY 1"
-DICT = f"SELECT token, df FROM ({DF}) WHERE df >= 20 AND df <= 0.4 * (SELECT count(*) FROM ({DOCS})) ORDER BY df DESC, token LIMIT 2000"
+DICT = f"SELECT token, df FROM ({DF}) WHERE df >= 20 AND df <= 0.4 * (SELECT count(*) FROM ({DOCS})) ORDER BY df DESC, token LIMIT 50000"
 
 
 @query(DICT)
@@ -154,12 +154,51 @@ def cloud_terms(spark, sf_dir):
     return top_tokens(docs(spark, sf_dir), 30).select(O.cloud_term(F.concat("token", F.lit("_x"))).alias("term"), "count")
 
 
-@query()
+BY_TOPIC = f"SELECT row_id, row_id % 3 AS topic, tokens FROM ({DOCS})"
+
+
+@query(f"""{phrase_chain(BY_TOPIC, BY_TOPIC, (10, 1.0), (10, 1.0), 'default')}, g AS (SELECT topic, phrase, count(*) AS count, contains(phrase, '_') AS joined FROM (SELECT topic, unnest(tokens) AS phrase FROM tri) GROUP BY ALL),
+r AS (SELECT *, sum(CASE WHEN joined THEN 1 ELSE 0 END) OVER (PARTITION BY topic) AS phrases, row_number() OVER (PARTITION BY topic, joined ORDER BY count DESC, phrase) AS place FROM g)
+SELECT topic AS topic_id, rank, phrase, count FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY count DESC, phrase) AS rank FROM r WHERE joined OR (phrases < 20 AND place <= 50)) WHERE rank <= 100""")
 def topic_phrases(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("topic_id", F.col("row_id") % 3)
     return P.topic_phrases(d, min_count=10, thresholds=(1.0, 1.0))
 
 
+@query(f"SELECT topic_id, rank, doc, round(prob, 6) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY prob DESC, doc) AS rank FROM ({LONG})) WHERE rank <= 2000")
+def topic_top_documents(spark, sf_dir):
+    return O.top_documents(thetas(spark, sf_dir), "doc", 2000).select("topic_id", "rank", "doc", *r6("prob"))
+
+
+#: Topics of documents that know their row, and the table they came from, in which some rows are there twice.
+ORIGINALS = "SELECT doc_id % 1000 AS orig_row, min(doc_id) AS doc_id, arg_min(text, doc_id) AS sentence FROM documents WHERE doc_id % 3 < 2 GROUP BY 1"
+
+
+@query(f"SELECT t.doc % 1000 AS orig_row, t.doc, o.doc_id, o.sentence FROM ({THETA}) t LEFT JOIN ({ORIGINALS}) o ON o.orig_row = t.doc % 1000")
+def smart_merge(spark, sf_dir):
+    d = thetas(spark, sf_dir).select((F.col("doc") % 1000).alias("orig_row"), "doc")
+    o = table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select((F.col("doc_id") % 1000).alias("orig_row"), "doc_id", F.col("text").alias("sentence"))
+    return O.smart_merge(d, o, order="doc_id")
+
+
+@query(f"SELECT t.doc, o.sentence AS text FROM ({THETA}) t LEFT JOIN ({ORIGINALS}) o ON o.orig_row = t.doc")
+def aligned_texts(spark, sf_dir):
+    o = table(spark, sf_dir, "documents").where("doc_id % 3 < 2").select((F.col("doc_id") % 1000).alias("orig_row"), "doc_id", F.col("text").alias("sentence"))
+    return O.aligned_texts(thetas(spark, sf_dir).select("doc"), o, "doc", "orig_row", "sentence", order="doc_id")
+
+
+@query()
+def lda_grid(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return O.grid_scores(O.lda_grid(d, (3, 5), "row_id", iterations=5))
+
+
+@query()
+def lda_final(spark, sf_dir):
+    model, vocab, _, iterations = O.fit_until_settled(docs(spark, sf_dir), 4, most=15, step=5, patience=5)
+    return O.top_words(model, vocab, 10).withColumn("iterations", F.lit(iterations))
+
+
 @query()
 def lda_topics(spark, sf_dir):
     model, vocab, _ = O.fit_lda(docs(spark, sf_dir), 5, iterations=10)
