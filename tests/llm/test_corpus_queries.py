@@ -1,4 +1,4 @@
-"""Each registered query itself, over its whole table, against brute force; the pipeline against plain Python."""
+"""Each registered corpus query itself, over its whole table, against brute force; the pipeline against plain Python."""
 
 import hashlib
 import re
