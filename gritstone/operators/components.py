@@ -25,7 +25,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     m = F.least("m", "u")
     linked = _with_minimum(both).where(F.col("v") > F.col("u"))
-    return linked.select(m.alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+    # As many rows as edges, so repeats may wait for the small star.
+    return linked.select(m.alias("a"), F.col("v").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
