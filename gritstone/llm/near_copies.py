@@ -75,16 +75,17 @@ def _node(distinct: np.ndarray) -> int:
 
 
 def _shingle_sets(shingle_words: int):
-    """(text, node, fp) to (node, fp, shingles): the set as sorted 32-bit hashes. A text that is not
-    the node's, as another row of its id may be, is passed over."""
+    """(text, node, fp) to (node, fp, shingles): the set as sorted 32-bit hashes, each node once for each task
+    however often its row is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sets, keep = [], []
             for value, node in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                distinct = np.unique(shingle_hashes(value.as_py(), shingle_words))
-                keep.append(_node(distinct) == node)
-                sets.append(np.unique(distinct.astype(np.uint32)).astype("<u4").tobytes() if keep[-1] else None)
+                keep.append(node not in seen)
+                seen.add(node)
+                sets.append(np.unique(shingle_hashes(value.as_py(), shingle_words).astype(np.uint32)).astype("<u4").tobytes() if keep[-1] else None)
             rows = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names=["node", "fp", "shingles"])
             yield rows.filter(pa.array(keep, pa.bool_()))
 
@@ -175,11 +176,11 @@ def near_copy_classes(docs: DataFrame, shingle_words: int = 5, least: float = 0.
     shared = written(keyed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
     met = written(keyed.join(shared, "block"))
     # Only classes that meet another are read again, one text of each, for their shingle sets.
-    needed = classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first.doc_id").alias("first_id"), F.col("first.body").alias("first_body"), "node", "fp")
+    # Written, so that its size is known: where it is small Spark broadcasts it and no text is shuffled.
+    needed = written(classes.join(met.select("node").distinct(), "node", "left_semi").select(F.col("first.doc_id").alias("first_id"), F.col("first.body").alias("first_body"), "node", "fp"))
     source = _source(docs)
     again = source.join(needed, source["doc_id"].eqNullSafe(needed["first_id"]) & (source["body"] == needed["first_body"])).select("text", "node", "fp")
-    # A row that is repeated stands for its class once.
-    wide = mapped(again, _shingle_sets(shingle_words), "node bigint, fp bigint, shingles binary").dropDuplicates(["node"])
+    wide = mapped(again, _shingle_sets(shingle_words), "node bigint, fp bigint, shingles binary")
     units = tile_units(met.join(wide, "node"), ["fp", "node", "shingles"], 1, tile, counted=met)
     linked = written(connected_components(mapped(units, _confirm_units(least), "a bigint, b bigint")))
     return rows.join(linked, "node", "left").select("doc_id", "body", F.coalesce("component", "node").alias("component"))

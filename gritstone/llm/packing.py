@@ -191,8 +191,9 @@ def cut_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, cap
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32 (ids on request), sequence_id, offset.
 
-    A null or empty text is a document of the end id alone. Repeated rows are documents of their own.
-    An empty table has no pieces.
+    A null or empty text is a document of the end id alone. Repeated rows, and rows that share an id or lack
+    one, are documents of their own. A text of any length is encoded whole and cut only after that. An
+    empty table has no pieces. Other columns, whatever their names, are not read.
     """
     pieces = written(cut_documents(docs, path, end_id, capacity, with_ids))
     counted = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows

@@ -254,8 +254,9 @@ def hamming_components(prints: DataFrame, radius: int = 2) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 lower-case hex digits), component_id.
 
-    Empty, blank and null texts have fingerprint zero and are linked like any other. Repeated rows
-    stay repeated. Other columns of the input, whatever their names, are not read.
+    Empty, blank and null texts have fingerprint zero and are linked like any other. Texts are read whole, however
+    long. Repeated rows stay repeated; an empty table gives no rows. Other columns of the input, whatever their
+    names, are not read.
     """
     found = hamming_components(fingerprints(docs, shingle_words, id_col, text_col), radius)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ judged on the input. The whole corpus never stands in one array. Instead:
 
 from __future__ import annotations
 
-import hashlib
+import atexit
 from collections.abc import Iterator
 
 import numpy as np
@@ -379,6 +379,13 @@ def _bucketed(texts: DataFrame, width: int) -> DataFrame:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+    def forget():
+        # The files go with the application; a catalog that outlives it must not keep the name.
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(forget)
     return spark.table(name)
 
 
@@ -387,7 +394,8 @@ def repeated_strings(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
 
     Texts are UTF-8 bytes, null ones empty; matches never cross documents. Texts shorter than ``size``
     lose nothing. Repeated rows are occurrences of their own, so each loses all its bytes when
-    long enough. Other columns, whatever their names, are not read.
+    long enough. Very long texts are judged whole, their anchors found in overlapping parts. An empty
+    table gives no rows. Other columns, whatever their names, are not read.
     """
     if size <= GRAM:
         raise ValueError(f"strings must be longer than {GRAM} bytes")
