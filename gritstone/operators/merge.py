@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tokens import with_places
+
 
 def candidates(sizes: DataFrame, similarity: DataFrame, top: int = 3, least: float = 0.60) -> DataFrame:
     """Per small cluster its ``top`` most similar others that are not small, those below ``least`` then dropped:
@@ -66,3 +68,10 @@ def common_ids(tables: list[DataFrame], key: str = "cluster") -> DataFrame:
     for t in tables[1:]:
         out = out.join(t.select(key), key, "left_semi")
     return out
+
+
+def join_by_place(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Columns side by side: the first row by ``left_order`` with the first by ``right_order``, and so on. Rows of the
+    left without a partner have nulls; columns that both have are taken from the left."""
+    l, r = with_places(left, left_order, "_place"), with_places(right, right_order, "_place")
+    return l.join(r.select("_place", *[c for c in right.columns if c not in left.columns]), "_place", "left").drop("_place")

@@ -9,7 +9,7 @@ from ..operators import embed as E
 from ..operators import keywords as K
 from ..operators import merge as M
 from ..operators import reduce as R
-from .adapters import CLUSTER_SENTENCES, CLUSTERED, SENTENCES, cluster_sentences, clustered, sentences
+from .adapters import CLUSTER_SENTENCES, CLUSTERED, SENTENCES, cluster_sentences, clustered, sentences, table
 from .filings import sql_list
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -283,6 +283,17 @@ def pca_reduce(spark, sf_dir):
     return R.pca(clustered(spark, sf_dir), 32)
 
 
+@query()
+def reduce_set(spark, sf_dir):
+    return R.reduce_set(clustered(spark, sf_dir), (8, 32, 64))
+
+
+@query(f"""SELECT row_id, cluster, doc_id, sentence FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM ({CLUSTERED})) l LEFT JOIN (SELECT doc_id, text AS sentence, row_number() OVER (ORDER BY doc_id DESC) AS place FROM documents) r ON r.place = l.place""")
+def columns_by_place(spark, sf_dir):
+    right = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sentence"), (-F.col("doc_id")).alias("o"))
+    return M.join_by_place(clustered(spark, sf_dir).select("row_id", "cluster"), right, "row_id", "o").drop("o")
+
+
 @query()
 def umap_reduce(spark, sf_dir):
     return R.umap(clustered(spark, sf_dir), 2)

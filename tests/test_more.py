@@ -115,6 +115,15 @@ def test_principal_components(spark, vectors):
     assert np.allclose(np.abs(have), np.abs(want), atol=1e-6)
 
 
+def test_reductions_of_several_sizes(spark, vectors):
+    ids, v = vectors
+    rows = QUERIES["reduce_set"](spark, SMALL).collect()
+    axes = np.linalg.svd(v - v.mean(0), full_matrices=False)[2]
+    assert {r["d"] for r in rows} == {d for d in (8, 32, 64) if d <= v.shape[1]}
+    got = {(r["d"], r["row_id"]): r["reduced"] for r in rows}
+    assert np.allclose(np.abs([got[8, i] for i in ids]), np.abs(v @ axes[:8].T), atol=1e-6)
+
+
 def test_first_singular_share(spark, vectors):
     values = np.linalg.svd(vectors[1] - vectors[1].mean(0), compute_uv=False)
     assert QUERIES["sv1_fraction"](spark, SMALL).first()["sv1_frac"] == pytest.approx(values[0] / values.sum(), abs=1e-6)

@@ -18,7 +18,7 @@ def test_same_rows_as_sql(spark, con, name):
 
 
 #: Queries that SQL cannot express, each with a test of its own in test_more.py or test_operators.py.
-TESTED_ALONE = {"average_linkage", "embed_texts", "hdbscan_grid", "lda_doc_topics", "lda_final", "lda_grid", "lda_topics", "pca_reduce", "quick_silhouette", "sv1_fraction", "text_sample", "umap_reduce"}
+TESTED_ALONE = {"average_linkage", "embed_texts", "hdbscan_grid", "lda_doc_topics", "lda_final", "lda_grid", "lda_topics", "pca_reduce", "reduce_set", "quick_silhouette", "sv1_fraction", "text_sample", "umap_reduce"}
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
