@@ -370,7 +370,7 @@ def _calibrate(placed: DataFrame, groups: DataFrame, tree: Tree, size: int, norm
 
 def measured_recall(table: DataFrame, found: DataFrame, k: int = 20, every: int = 20, queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
     """The share of true neighbours that a search found, over queries that did not calibrate it (all others
-    where there are few). Brute force over all rows."""
+    where there are few; not a number where there are none). Brute force over all rows."""
     rows, size, _, _ = _vectors(table, id_col, vector_col)
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     groups = asked.groupBy("v").agg(F.min("vec_id").alias("rep"))
@@ -379,7 +379,7 @@ def measured_recall(table: DataFrame, found: DataFrame, k: int = 20, every: int
     fair = [m for m, i in enumerate(ids) if i not in used][:queries]
     ids, vectors = [ids[m] for m in fair], vectors[fair]
     if not ids:
-        return 1.0
+        return float("nan")
     true = _true_neighbours(rows.select("v", F.array("vec_id").alias("ids"), F.lit(0).alias("leaf")), ids, vectors, size, k)
     met: dict[int, set[int]] = {}
     for r in found.where(F.col("query_id").isin(ids)).select("query_id", "vec_id").collect():  # k rows a query
