@@ -168,6 +168,10 @@ def _cluster_tf(spark, sf_dir):
     return K.document_terms(K.cluster_documents(cluster_sentences(spark, sf_dir)), "cluster", "text")
 
 
+def _cluster_weights(spark, sf_dir):
+    return K.cluster_weights(cluster_sentences(spark, sf_dir))
+
+
 @query(f"{WITH} SELECT doc, rank, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM cw) WHERE rank <= 20")
 def tfidf_keywords(spark, sf_dir):
     tf = _cluster_tf(spark, sf_dir)
@@ -198,9 +202,7 @@ LEFT JOIN (SELECT doc, string_agg(term, ', ' ORDER BY rank) AS top_keywords FROM
 LEFT JOIN (SELECT p.cluster, s.sentence FROM reps p JOIN ({CLUSTER_SENTENCES}) s ON s.row_id = p.row_id WHERE rank = 1) r ON r.cluster = n.cluster""")
 def naming_sheet(spark, sf_dir):
     s = cluster_sentences(spark, sf_dir)
-    tf = _cluster_tf(spark, sf_dir)
-    vocab = K.vocabulary(tf)
-    w = K.weights(tf, vocab)
+    w, vocab = _cluster_weights(spark, sf_dir)
     return K.naming_sheet(C.sizes(s), K.keywords(w.withColumn("w", F.round("w", 9))), K.representatives(s, w, vocab), s)
 
 
