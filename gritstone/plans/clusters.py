@@ -192,9 +192,8 @@ SELECT s.cluster, s.row_id, sum(sw.w * cw.w) AS score FROM sw JOIN ({CLUSTER_SEN
 
 @query(f"{REPS} SELECT cluster, rank, row_id, round(score, 6) AS score_tfidf FROM reps WHERE rank <= 5")
 def representative_sentences_tfidf(spark, sf_dir):
-    tf = _cluster_tf(spark, sf_dir)
-    vocab = K.vocabulary(tf)
-    return K.representatives(cluster_sentences(spark, sf_dir), K.weights(tf, vocab), vocab).select("cluster", "rank", "row_id", *r6("score_tfidf"))
+    w, vocab = _cluster_weights(spark, sf_dir)
+    return K.representatives(cluster_sentences(spark, sf_dir), w, vocab).select("cluster", "rank", "row_id", *r6("score_tfidf"))
 
 
 @query(f"""{REPS} SELECT n.cluster, n_sentences, top_keywords, r.sentence AS representative FROM (SELECT cluster, count(*) AS n_sentences FROM ({CLUSTER_SENTENCES}) GROUP BY 1) n
