@@ -174,8 +174,7 @@ def _cluster_weights(spark, sf_dir):
 
 @query(f"{WITH} SELECT doc, rank, term, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, term) AS rank FROM cw) WHERE rank <= 20")
 def tfidf_keywords(spark, sf_dir):
-    tf = _cluster_tf(spark, sf_dir)
-    w = K.weights(tf, K.vocabulary(tf)).withColumn("w", F.round("w", 9))
+    w = _cluster_weights(spark, sf_dir)[0].withColumn("w", F.round("w", 9))
     return K.keywords(w).select("doc", "rank", "term", *r6("w"))
 
 
