@@ -164,10 +164,6 @@ WEIGHTS = "SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PART
 WITH = f"WITH tf AS MATERIALIZED ({TF}), vocab AS MATERIALIZED ({VOCAB}), cw AS MATERIALIZED ({WEIGHTS.format(tf='tf')})"
 
 
-def _cluster_tf(spark, sf_dir):
-    return K.document_terms(K.cluster_documents(cluster_sentences(spark, sf_dir)), "cluster", "text")
-
-
 def _cluster_weights(spark, sf_dir):
     return K.cluster_weights(cluster_sentences(spark, sf_dir))
 
@@ -180,8 +176,7 @@ def tfidf_keywords(spark, sf_dir):
 
 @query(f"{WITH} SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE s END, 6) AS sim FROM (SELECT p.doc AS a, q.doc AS b, sum(p.w * q.w) AS s FROM cw p JOIN cw q ON p.term = q.term GROUP BY p.doc, q.doc)")
 def tfidf_cluster_similarity(spark, sf_dir):
-    tf = _cluster_tf(spark, sf_dir)
-    return K.similarity(K.weights(tf, K.vocabulary(tf))).select("a", "b", *r6("sim"))
+    return K.similarity(_cluster_weights(spark, sf_dir)[0]).select("a", "b", *r6("sim"))
 
 
 SENT_TF = _tf(CLUSTER_SENTENCES, "row_id", "sentence")
