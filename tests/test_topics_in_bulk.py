@@ -15,7 +15,7 @@ def docs(spark):
     return spark.createDataFrame(rows, "row_id long, tokens array<string>").repartition(3)
 
 
-@pytest.mark.parametrize("name", ["lda_final"])
+@pytest.mark.parametrize("name", ["lda_final", "lda_grid"])
 def test_documents_are_prepared_once(docs, monkeypatch, name):
     prepared, whole = [], topics.weighted_counts
     monkeypatch.setattr(topics, "weighted_counts", lambda *a, **b: prepared.append(1) or whole(*a, **b))
