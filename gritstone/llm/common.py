@@ -30,14 +30,37 @@ def fresh(name: str, *tables: DataFrame) -> str:
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers' path and batches of a few MB."""
+#: What a Python worker has built for an operator's tasks, by name.
+_tables: dict[str, object] = {}
+
+
+def worker_table(name: str, make):
+    """The worker's table of that name, built once; ``mapped`` must be told the name as ``holds``."""
+    if name not in _tables:
+        _tables[name] = make()
+    return _tables[name]
+
+
+def release(holds: str | None) -> None:
+    """Drop all of the worker's tables but one."""
+    for name in [n for n in _tables if n != holds]:
+        del _tables[name]
+
+
+def mapped(df: DataFrame, run, schema, holds: str | None = None) -> DataFrame:
+    """``mapInArrow`` with this package on the workers' path and batches of a few MB. Spark gives a worker from one
+    operator to the next: at its first task of another, what it built for the one before goes."""
     spark = df.sparkSession
     ship(spark)
     for key, (default, ours) in BATCH.items():
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, ours)
-    return df.mapInArrow(run, schema)
+
+    def alone(batches):
+        release(holds)
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -53,4 +76,4 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
-__all__ = ["BATCH", "WORD", "column_or_null", "fresh", "mapped", "shared_dir", "shuffle_width", "words_of", "written"]
+__all__ = ["BATCH", "WORD", "column_or_null", "fresh", "mapped", "release", "shared_dir", "shuffle_width", "words_of", "worker_table", "written"]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_or_null, fresh, mapped, words_of, written
+from .common import column_or_null, fresh, mapped, words_of, worker_table, written
 
 WINDOW = 10
 #: Benchmark words, in bytes, that one search holds; a larger benchmark is searched in several passes.
@@ -205,15 +205,9 @@ def _passes(benchmark: DataFrame, window: int, pass_bytes: int) -> list[DataFram
     return [pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k) for k in range(parts)]
 
 
-_ready: dict[str, Searcher] = {}
-
-
 def _worker_searcher(shared, token: str, window: int) -> Searcher:
     """The worker's tables of a broadcast benchmark: built once, and dropped for those of the next pass."""
-    if token not in _ready:
-        _ready.clear()
-        _ready[token] = Searcher(shared.value, window)
-    return _ready[token]
+    return worker_table(token, lambda: Searcher(shared.value, window))
 
 
 class _Pass:
@@ -276,7 +270,7 @@ def _hits(texts: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
     found = []
     for part in parts:
         now = _Pass(part, window)
-        hits = mapped(texts.select("h1", "h2", "text"), _found(now.searcher(), ["h1", "h2"], only_hits=True), f"h1 bigint, h2 bigint, {_FOUND}")
+        hits = mapped(texts.select("h1", "h2", "text"), _found(now.searcher(), ["h1", "h2"], only_hits=True), f"h1 bigint, h2 bigint, {_FOUND}", holds=now.token)
         found.append(written(hits.groupBy("h1", "h2").agg(F.first("spans").alias("spans"), F.first("item_ids").alias("item_ids"))))
         now.shared.destroy()
     every = found[0]
@@ -301,7 +295,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     source = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "binary").alias("text"))
     parts = _passes(benchmark, window, pass_bytes)
     if len(parts) == 1:
-        return mapped(source, _found(_Pass(parts[0], window).searcher(), ["doc_id"]), f"doc_id bigint, {_FOUND}")
+        now = _Pass(parts[0], window)
+        return mapped(source, _found(now.searcher(), ["doc_id"]), f"doc_id bigint, {_FOUND}", holds=now.token)
     h1, h2 = _hashes(F.col("text"))
     texts = source.select("doc_id", h1.alias("h1"), h2.alias("h2"), "text")
     counted = mapped(texts, _count_words, "doc_id bigint, h1 bigint, h2 bigint, n_words bigint")
@@ -331,14 +326,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         hits = _hits(texts, parts, window).select(F.col("h1").alias(names[0]), F.col("h2").alias(names[1]))
         named = docs.select("*", *(h.alias(n) for h, n in zip(_hashes(text), names, strict=True)))
         return named.join(hits, names, "left_anti").select(*docs.columns)
-    searcher, at = _Pass(parts[0], window).searcher(), docs.columns.index("text")
+    now, at = _Pass(parts[0], window), docs.columns.index("text")
+    searcher = now.searcher()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = searcher()
             yield batch.filter(pa.array([not s.spans(words_of(x.as_py()))[0] for x in batch.column(at).cast(pa.binary())], pa.bool_()))
 
-    return mapped(docs, run, docs.schema)
+    return mapped(docs, run, docs.schema, holds=now.token)
 
 
 __all__ = ["Searcher", "WuManber", "contamination_report", "drop_contaminated", "find_contamination"]

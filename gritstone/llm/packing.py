@@ -185,7 +185,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, cap
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return mapped(source, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
+    return mapped(source, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids, holds=path)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -74,7 +74,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, rang
     # Ranges are cut on the texts, before the encoder: Spark samples what it cuts. Nulls sort first.
     keyed = source.withColumn("hash", F.xxhash64("text"))
     dealt = keyed.repartitionByRange(ranges, "doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
-    return written(mapped(dealt, files, "range int, before bigint, n_ids bigint, data binary"), "uncompressed")
+    return written(mapped(dealt, files, "range int, before bigint, n_ids bigint, data binary", holds=path), "uncompressed")
 
 
 def read_tokens(store: DataFrame) -> DataFrame:

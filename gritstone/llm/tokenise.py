@@ -16,8 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import worker_table
+
 #: Pieces of a generation; a worker remembers at most two, and what it meets again stays.
 CACHE = 600_000
+#: Pieces of more characters are met once as a rule, and of any length: they are not remembered.
+LONG = 64
+#: Texts, or new words, that go to the library at once. What it makes of each is some kB until its ids are taken, and memory
+#: that a worker has once had for them it does not give back.
+AT_ONCE = 2048
 #: Signs that may end a piece. None of them belongs to a letter's token.
 _SIGNS = ".,;:!?()[]{}<>|/\\\"`~@#$%^&*_+=-"
 
@@ -58,7 +65,8 @@ class Encoder:
         self.mark = self._find_mark()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cuts = (texts[k : k + AT_ONCE] for k in range(0, len(texts), AT_ONCE))
+        return [array(self.code, e.ids).tobytes() for cut in cuts for e in self.tokenizer.encode_batch_fast(cut, add_special_tokens=False)]
 
     def _find_mark(self) -> tuple[str, int] | None:
         """A string between two words that is always one token of its own, with its id."""
@@ -70,8 +78,11 @@ class Encoder:
         return None
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
-        """Each word with the lead before it. Words of letters go through the tokenizer as one text and are
-        told apart by the mark."""
+        """Each word with the lead before it."""
+        return [ids for k in range(0, len(words), AT_ONCE) for ids in self._some_words(words[k : k + AT_ONCE], lead)]
+
+    def _some_words(self, words: list[str], lead: str) -> list[bytes]:
+        """Words of letters go through the tokenizer as one text and are told apart by the mark."""
         if self.mark and len(words) > 8:
             mark, number = self.mark
             text = "".join([f"{lead}{w}{mark}" for w in words])
@@ -137,6 +148,10 @@ class Encoder:
         self._learn([pieces[k] for k in new if not odd[k]])
         for k in new:
             ids[k] = b"" if odd[k] else self.known[pieces[k]]
+        for p in (pieces[k] for k in new):
+            if len(p) > LONG:
+                self.known.pop(p, None)
+                self.known.pop(p.rstrip(_SIGNS), None)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         starts = np.cumsum(sizes) - sizes
         every = np.frombuffer(b"".join(ids), f"<u{self.width}")
@@ -157,11 +172,6 @@ class Encoder:
         return [x if w else x + raw[a:b] for x, w, (a, b) in zip(lead, whole.tolist(), spans, strict=True)]
 
 
-_ready: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file: it lives as long as the worker, over all its tasks."""
-    if path not in _ready:
-        _ready[path] = Encoder(path)
-    return _ready[path]
+    """The worker's encoder of a file: it lives over all the worker's tasks, until one of another operator."""
+    return worker_table(path, lambda: Encoder(path))
