@@ -87,3 +87,26 @@ def test_written_shares_go_with_the_next_sweep(spark, docs):
     fit.go_on(1)
     assert not exists()
     fit.end()
+
+
+def test_grid_has_all_sizes_and_iterations(spark, docs, monkeypatch):
+    got = called(monkeypatch, "lda_grid", docs, (2, 3), "row_id", iterations=1, min_docs=1, max_share=1.0)
+    monkeypatch.setattr(plans, "docs", lambda *_: docs)
+    assert plans.lda_grid(spark, "").count() == 2
+    assert (tuple(got["ks"]), got["iterations"], got["top"]) == (tuple(range(5, 100)), 800, 15)
+
+
+@pytest.mark.parametrize(("words", "documents", "fits"), [(335, 1685, 4), (50_000, 10**7, 8), (1, 1, 1)])
+def test_no_size_is_left_out(words, documents, fits):
+    ks = tuple(range(5, 100))
+    groups = topics._side_by_side(ks, words, documents, fits)
+    assert sum(groups, ()) == ks and all(len(g) == 1 or sum(g) * words <= topics.MODEL and sum(g) * documents <= topics.SHARES for g in groups)
+
+
+def test_grid_is_that_of_models_one_by_one(docs):
+    options = {"min_docs": 1, "max_share": 1.0}
+    for k, p, c in topics.lda_grid(docs, (2, 3, 4), "row_id", iterations=6, top=3, **options).collect():
+        model, vocab, weighted = topics.fit_lda(docs, k, iterations=6, **options)
+        scores = topics.coherence_cv(docs, topics.top_words(model, vocab, 3), "row_id").collect()
+        assert p == pytest.approx(topics.perplexity(model, weighted), rel=1e-3)
+        assert c == pytest.approx(sum(r["c_v"] for r in scores) / len(scores), abs=1e-9)
